@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import copies, encode, leaks, quantiles, split
+from kvlake.llm import copies, encode, garble, leaks, quantiles, split
 from kvlake.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,8 +66,18 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaked(read_table(spark, root, "documents"), read_table(spark, root, "eval_samples"))
 
 
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """The documents with garbled characters."""
+    return p8_repaired(spark, root).select("doc_id")
+
+
+def p8_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """The same with the mistakes made and the original text where it can be had back."""
+    return garble.garbled(read_table(spark, root, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p4_percentiles, p4_month_percentiles, p5_found, p5_collapsed, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p4_percentiles, p4_month_percentiles, p5_found, p5_collapsed, p6_ids, p7_found, p8_found, p8_repaired)}
 
 
 _QUANTILES = ", ".join(f"list_sort(list(x))[greatest(1, ceil(round({q} * count(x), 6)))::BIGINT] AS {name}" for name, q in QS.items())
