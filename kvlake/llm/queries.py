@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import copies, encode, garble, leaks, quantiles, split
+from kvlake.llm import copies, encode, garble, leaks, pairs, quantiles, split
 from kvlake.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return p1_pieces(spark, root).filter(F.col("piece_no") == 0).select("seq", "cut")
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """The runs with a defective answer."""
+    return pairs.broken_pairs(read_table(spark, root, "run_result"), read_table(spark, root, "eval_samples"))
+
+
 def _daily(spark: SparkSession, root: str) -> DataFrame:
     once = quantiles.first_delivery(read_table(spark, root, "lb_scheme_stats"), "stats_id", ["logged_at", "run_day", "dataset", "scheme"])
     return quantiles.sketch_columns(once, ["run_day", "dataset", "scheme"], ["ttft_ms", "kv_mb"])
@@ -77,7 +82,7 @@ def p8_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p4_percentiles, p4_month_percentiles, p5_found, p5_collapsed, p6_ids, p7_found, p8_found, p8_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_percentiles, p4_month_percentiles, p5_found, p5_collapsed, p6_ids, p7_found, p8_found, p8_repaired)}
 
 
 _QUANTILES = ", ".join(f"list_sort(list(x))[greatest(1, ceil(round({q} * count(x), 6)))::BIGINT] AS {name}" for name, q in QS.items())
