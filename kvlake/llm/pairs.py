@@ -36,13 +36,13 @@ KEEP = 4096
 
 #: Function words of the languages told apart.
 STOPWORDS = {
-    "en": "the of and is are was were to with for that this by at from which it its be has have not as or an on when while if so here before after into",
+    "en": "the of and is are was were to with for that this by at from which it its be has have not as or an on when while if so here before after into every each unless within whenever although though below near they them there",
     "de": "der die das und ist sind den dem des von für mit nach auf ein eine einer nicht sobald obwohl während bei als im zu wird was dass oder hier laut gilt wenn wie über aus",
     "fr": "le la les des du de et est une un pour dans sur que qui pas au aux après même ce cette dès pendant d’après selon quand ou par ne se encore sont avec en",
     "es": "el la los las de y es en por para con que una un del según más aunque tras durante lo cuando cada se su al no sin esta este",
     "pt": "o os as do da dos e é em não uma um com para por que embora após ao à de mais na no quando se pelo pela",
-    "it": "il lo gli le di e è in per con che una un del della dei non dopo anche sono al nel alla da quando questo",
-    "nl": "de het een en is van voor met na op niet als bij te wordt dat die zijn uit wanneer ook naar",
+    "it": "il lo gli le di e è con che una un del della dei non dopo anche sono al nel alla da quando questo",
+    "nl": "het een van voor met na op niet als bij te wordt dat die zijn uit wanneer ook naar",
 }
 _VOTES: dict[str, list[str]] = {}
 for _language, _words in STOPWORDS.items():
