@@ -49,6 +49,13 @@ for _language, _words in STOPWORDS.items():
     for _w in _words.split():
         _VOTES.setdefault(_w, []).append(_language)
 
+#: Endings of lower-case words that speak for a language.
+ENDINGS = {"ção": "pt", "ções": "pt", "ão": "pt", "ción": "es", "ciones": "es", "miento": "es", "ung": "de", "keit": "de", "lich": "de", "isch": "de", "ement": "fr", "ées": "fr", "ée": "fr", "euse": "fr", "zione": "it", "zioni": "it", "heid": "nl", "ing": "en", "ness": "en"}
+#: Letters that speak for a language in lower-case words.
+LETTERS = {"ñ": "es", "ú": "es pt", "í": "es pt", "ó": "es pt", "á": "es pt", "ã": "pt", "õ": "pt", "ä": "de", "ö": "de", "ü": "de", "ß": "de", "è": "fr it", "ê": "fr pt", "û": "fr", "ô": "fr pt"}
+#: Votes that a language needs, and by which it has to lead the prompt's.
+LEAST, LEAD = 1.2, 1.2
+
 #: Phrases that decline by themselves, with words parted by one blank and without punctuation.
 DECLINING = """
 i cannot; i can t; i can not; i am unable; i m unable; i am not able; i m not able; not in a position to; i must refrain; i must decline; i have to decline; i have to refrain; i must refuse; i have to refuse; i refuse; i decline; i won t; i will not; i would rather not; i d rather not; i prefer not; i would prefer not; i do not answer; i don t answer; i may not; what i may; what i can; what i am; not possible for me; impossible for me; no comment on; outside of what i; beyond what i; rule out replying; rules out replying; my guidelines; my instructions; ask somebody else; ask someone else; look that up yourself; look it up yourself; let s talk about something; let us talk about something; on which i; i am not allowed; i m not allowed; i do not have access; i don t have access; i do not comment; i don t comment; i have no answer; i do not know; i don t know; i could not find; i was not able
@@ -114,7 +121,7 @@ class Prompt:
         self.number = {w: i for i, w in enumerate(self.vocabulary)}
         self.automaton = Automaton()
         self.automaton.add([self.number[w] for w in self.words], 0)
-        self.language = language(text, 1)
+        self.language = language(text, 0.5)
 
     def is_copied(self, answer: str) -> bool:
         words = words_of(answer)
@@ -141,8 +148,9 @@ class Prompt:
         return whole and len(rest) <= FRAME_WORDS and all(w in FRAME or w in self.vocabulary for w in rest)
 
 
-def language(text: str, least: int = 2) -> tuple[str, dict[str, int]] | None:
-    """The language with the most votes, if it has `least`, with all votes; None if nothing votes."""
+def language(text: str, least: float = LEAST) -> tuple[str, dict[str, float]] | None:
+    """The language with the most votes, if it has `least`, with all votes; None if nothing votes. A function word, an
+    ending or a letter that several languages share is split between them."""
     han = sum("一" <= c <= "鿿" for c in text)
     cyrillic = sum("Ѐ" <= c <= "ӿ" for c in text)
     letters = sum(map(str.isalpha, text)) if han or cyrillic else 0
@@ -150,21 +158,26 @@ def language(text: str, least: int = 2) -> tuple[str, dict[str, int]] | None:
         return "zh", {"zh": han}
     if cyrillic and 3 * cyrillic >= letters:
         return "ru", {"ru": cyrillic}
-    votes: dict[str, int] = {}
-    for w in re.findall(r"[^\W\d_]+(?:’[^\W\d_]+)?", _QUOTED.sub(" ", text.casefold())):
-        for language_of in _VOTES.get(w, ()):
-            votes[language_of] = votes.get(language_of, 0) + 1
+    votes: dict[str, float] = {}
+    for word in re.findall(r"[^\W\d_]+(?:’[^\W\d_]+)?", _QUOTED.sub(" ", text)):
+        told = _VOTES.get(word.casefold(), [])
+        if not told and word[1:2] == "’" and word[0] in "ldcjmnstLDCJMNST":
+            told = ["fr", "fr", "it"]
+        if not told and word.islower():
+            told = next(([ENDINGS[word[-n:]]] for n in (6, 5, 4, 3, 2) if len(word) > n + 2 and word[-n:] in ENDINGS), None) or next((LETTERS[c].split() for c in word if c in LETTERS), [])
+        for one in told:
+            votes[one] = votes.get(one, 0) + 1 / len(told)
     if not votes:
         return None
     best = max(votes, key=votes.__getitem__)
     return (best, votes) if votes[best] >= least else None
 
 
-def is_foreign(answer: str, asked: tuple[str, dict[str, int]] | None) -> bool:
+def is_foreign(answer: str, asked: tuple[str, dict[str, float]] | None) -> bool:
     told = language(answer)
     if asked is None or told is None or told[0] == asked[0]:
         return False
-    return told[1][told[0]] >= told[1].get(asked[0], 0) + 2
+    return told[1][told[0]] >= told[1].get(asked[0], 0) + LEAD
 
 
 def open_delimiters(text: str) -> list[str]:
