@@ -76,7 +76,7 @@ def _codes(name: str) -> Query:
         packed = schemes.pack(cache(spark, root), name, DIM)
         return packed.select(
             "doc_id", "head", "token", F.lower(F.hex("k_codes")).alias("k_hex"), F.lower(F.hex("v_codes")).alias("v_hex"),
-            *[(F.col(c) * FIXED).cast("long").alias(c) for c in ("k_scale", "k_residual", "v_scale")],
+            *[F.coalesce((F.col(c) * FIXED).cast("long"), F.lit(-1)).alias(c) for c in ("k_scale", "k_residual", "v_scale")],
         )
 
     query.__doc__ = f"Packed codes and scales of {name}."

@@ -61,7 +61,7 @@ def _codes(name: str) -> str:
     key = "doc_id, head, token"
     scale = lambda c="any_value(s)": _FIXED.format(_f16(f"({c})"))
     v16 = f"v AS (SELECT {key}, {_NIBBLES.format('c')} AS v_hex, {scale()} AS v_scale FROM c16 WHERE part = 'v' GROUP BY ALL)"
-    none = "NULL::BIGINT AS k_residual"
+    none = "(-1)::BIGINT AS k_residual"
     if name == "mse4":
         k = f"k AS (SELECT {key}, {_NIBBLES.format('c')} AS k_hex, {scale()} AS k_scale, {none} FROM c16 WHERE part = 'k' GROUP BY ALL)"
         head = _with(_KV, _rot("head"), _Z, _C16, k, v16)
@@ -144,7 +144,7 @@ def _attn_mse(name: str) -> str:
 
 def _page_bytes() -> str:
     shapes = "(VALUES (16, 8, 128), (16, 2, 128), (16, 2, 64), (32, 4, 64)) s(block, heads, dim)"
-    up = lambda x: f"(({x}) + 255) // 256 * 256"
+    up = lambda x: f"((({x}) + 255) // 256 * 256)"
     c = "block * heads"
     four = "dim // 2"
     return f"""SELECT unnest(['dense16', 'absmax4', 'mse4', 'prod4', 'sign1']) AS scheme, block, heads, dim, unnest([
@@ -169,9 +169,10 @@ def _strip(x: str) -> str:
 
 
 def _normal(x: str) -> str:
-    apart = r"regexp_replace(lower(" + x + r"), '([^\p{L}\p{N}_])', '\1\1', 'g')"
-    bare = "regexp_replace(" + apart + r", '(^|[^\p{L}\p{N}_])(?:a|an|the)($|[^\p{L}\p{N}_])', '\1 \2', 'g')"
-    return f"array_to_string({_words('regexp_replace(' + bare + ', ' + chr(39) + r'[!-/:-@\[-`{-~]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, ' ')"
+    apart = r"regexp_replace(lower(" + x + r"), '([^\p{L}\p{N}_])', chr(1) || '\1' || chr(1), 'g')"
+    bare = "regexp_replace(" + apart + r", '(^|\x01)(?:a|an|the)($|\x01)', '\1 \2', 'g')"
+    plain = "regexp_replace(replace(" + bare + r", chr(1), ''), '[!-/:-@\[-`{-~]', ' ', 'g')"
+    return f"array_to_string({_words(plain)}, ' ')"
 
 
 def _stem(x: str) -> str:
@@ -218,8 +219,8 @@ SELECT doc_id, dataset, CASE WHEN dataset IN ('qasper', 'hotpotqa') THEN CASE WH
 _PADDED = f"""
 WITH s AS (SELECT doc_id, {_words("coalesce(context_text, '')")} AS w, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM eval_samples),
 line AS (SELECT flatten(list(w ORDER BY i)) AS everything FROM s),
-at AS (SELECT *, coalesce(sum(len(w)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s),
-whole AS (SELECT doc_id, w, list_concat(list_concat(w, list_slice(everything, start + len(w) + 1, len(everything))), list_slice(everything, 1, start + len(w))) AS all_ FROM at, line),
+placed AS (SELECT *, coalesce(sum(len(w)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s),
+whole AS (SELECT doc_id, w, list_concat(list_concat(w, list_slice(everything, start + len(w) + 1, len(everything))), list_slice(everything, 1, start + len(w))) AS all_ FROM placed, line),
 cut AS (SELECT doc_id, list_slice(CASE WHEN len(all_) < 512 THEN flatten([all_, all_, all_, all_]) ELSE all_ END, 1, 512) AS w FROM whole)
 SELECT doc_id, array_to_string(w, ' ') AS context_text, len(w)::INT AS context_tokens FROM cut"""
 
