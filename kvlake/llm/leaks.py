@@ -36,6 +36,8 @@ BLOCK_CHARS = 8_000_000
 #: Longest gap between two runs of one chain: a longer one holds more edits than any chain around it allows to matter.
 MAX_GAP = 48
 
+#: Diagonals by which neighbouring runs of one stretch may differ.
+DRIFT = 5
 #: Texts that are looked at together.
 STEP = 500
 #: Size of the filter of neighbouring pairs, in bits of the index; a pair that it lets through wrongly costs time only.
@@ -229,9 +231,11 @@ class Items:
                 open_at[at - end] = run
         if max(r[2] for r in runs) >= self.min_words:
             return True
-        if len(runs) == 1:
-            return False
         runs.sort()
+        return self._chained(text, item, runs) or self._aligned(text, item, runs)
+
+    def _chained(self, text: list[int], item: list[int], runs: list[list[int]]) -> bool:
+        """Whether a chain from one run to another is long and true enough; quick, and right where it says so."""
         gaps: dict[tuple[int, int, int, int], int] = {}
         last = max(r[1] + r[2] for r in runs)
         for first in range(len(runs)):
@@ -262,6 +266,59 @@ class Items:
                         edits[q] = n
         return False
 
+    def _aligned(self, text: list[int], item: list[int], runs: list[list[int]]) -> bool:
+        """The exact check around runs that lie together on neighbouring diagonals: all stretches of the item against all
+        of the text, by edit distance. Of a stretch with at most one edit in PER_EDIT words, a third or more stands in runs
+        of SEED words (with the values set here), and nearly all words of some MIN_WORDS lie within DRIFT of a diagonal;
+        places without that are left out."""
+        reach = 2 * self.min_words
+        for near in self._together(runs, reach):
+            if 3 * sum(r[2] for r in near) < self.min_words:
+                continue
+            lo_t, lo_i = max(0, min(r[0] for r in near) - reach), max(0, min(r[1] for r in near) - reach)
+            t = np.array(text[lo_t : max(r[0] + r[2] for r in near) + reach], np.int64)
+            i = np.array(item[lo_i : max(r[1] + r[2] for r in near) + reach], np.int64)
+            if len(i) < self.min_words:
+                continue
+            offsets = sorted({r[0] - lo_t - (r[1] - lo_i) + k for r in near for k in range(-DRIFT, DRIFT + 1)})
+            met = np.zeros(len(i), bool)
+            for k in offsets:
+                a, b = max(0, -k), min(len(i), len(t) - k)
+                if a < b:
+                    met[a:b] |= i[a:b] == t[a + k : b + k]
+            there = np.concatenate([[0], np.cumsum(met)])
+            if (there[self.min_words :] - there[: -self.min_words]).max() < 0.75 * self.min_words:
+                continue
+            ramp = np.arange(len(t) + 1)
+            row = np.zeros((len(i), len(t) + 1), np.int64)  # one line for each first word of a stretch
+            for n in range(1, len(i) + 1):
+                row = row[: len(i) - n + 1]
+                new = np.empty_like(row)
+                new[:, 0] = n
+                new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (i[n - 1 :, None] != t[None, :]))
+                row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+                best = int(row.min())
+                if n >= self.min_words and best * self.per_edit <= n:
+                    return True
+                if best * self.per_edit > len(i):
+                    break
+        return False
+
+    def _together(self, runs: list[list[int]], reach: int) -> Iterator[list[list[int]]]:
+        """Runs on diagonals that lie within DRIFT of each other one by one, and in reach of each other in the text."""
+        by_diagonal = sorted(runs, key=lambda r: r[0] - r[1])
+        begin = 0
+        for end in range(1, len(runs) + 1):
+            if end < len(runs) and by_diagonal[end][0] - by_diagonal[end][1] - (by_diagonal[end - 1][0] - by_diagonal[end - 1][1]) <= DRIFT:
+                continue
+            own, begin = sorted(by_diagonal[begin:end]), end
+            first = 0
+            for last in range(1, len(own) + 1):
+                if last < len(own) and own[last][0] <= own[last - 1][0] + own[last - 1][2] + reach:
+                    continue
+                yield own[first:last]
+                first = last
+
 
 _blocks: dict[int, Items] = {}
 

@@ -49,8 +49,10 @@ for _language, _words in STOPWORDS.items():
     for _w in _words.split():
         _VOTES.setdefault(_w, []).append(_language)
 
+#: Per language, its words and the words of others only.
+_ONLY = {one: (frozenset(STOPWORDS[one].split()), frozenset(w for o, ws in STOPWORDS.items() if o != one for w in ws.split()) - frozenset(STOPWORDS[one].split())) for one in STOPWORDS}
 #: Endings of lower-case words that speak for a language.
-ENDINGS = {"ção": "pt", "ções": "pt", "ão": "pt", "ción": "es", "ciones": "es", "miento": "es", "ung": "de", "keit": "de", "lich": "de", "isch": "de", "ement": "fr", "ées": "fr", "ée": "fr", "euse": "fr", "zione": "it", "zioni": "it", "heid": "nl", "ing": "en", "ness": "en"}
+ENDINGS = {"ador": "es pt", "ção": "pt", "ções": "pt", "ão": "pt", "ción": "es", "ciones": "es", "miento": "es", "ung": "de", "keit": "de", "lich": "de", "isch": "de", "ement": "fr", "ées": "fr", "ée": "fr", "euse": "fr", "zione": "it", "zioni": "it", "heid": "nl", "ing": "en", "ness": "en"}
 #: Letters that speak for a language in lower-case words.
 LETTERS = {"ñ": "es", "ú": "es pt", "í": "es pt", "ó": "es pt", "á": "es pt", "ã": "pt", "õ": "pt", "ä": "de", "ö": "de", "ü": "de", "ß": "de", "è": "fr it", "ê": "fr pt", "û": "fr", "ô": "fr pt"}
 #: Votes that a language needs, and by which it has to lead the prompt's.
@@ -103,13 +105,16 @@ def is_refusal(answer: str) -> bool:
     text = _QUOTED.sub(" ", answer)
     if not re.search(r"\w", text):
         text = answer
-    for sentence in _SENTENCES.split(_PLAIN.sub(" ", text.casefold())):
-        kinds: set[str] = set()
-        for _, found in _automaton.iter(f" {sentence.strip()} "):
-            kinds |= found
-        if "whole" in kinds or {"speaker", "denial"} <= kinds:
-            return True
-    return False
+    plain = f" {_SENTENCES.sub(' . ', _PLAIN.sub(' ', text.casefold()))} "
+    hits = list(_automaton.iter(plain))
+    if any("whole" in kinds for _, kinds in hits):
+        return True
+    if len(hits) < 2:
+        return False
+    by_sentence: dict[int, set[str]] = {}
+    for end, kinds in hits:
+        by_sentence.setdefault(plain.count(".", 0, end), set()).update(kinds)
+    return any({"speaker", "denial"} <= kinds for kinds in by_sentence.values())
 
 
 class Prompt:
@@ -122,8 +127,15 @@ class Prompt:
         self.automaton = Automaton()
         self.automaton.add([self.number[w] for w in self.words], 0)
         self.language = language(text, 0.5)
+        # an answer that gives back nearly all of the prompt holds one of its longest words
+        self.longest = sorted(self.vocabulary, key=len)[-max(1, int(len(self.words) * (1 - COPY_SHARE)) + 1) :]
 
     def is_copied(self, answer: str) -> bool:
+        if 2 * len(answer) < sum(map(len, self.words)):
+            return False
+        folded = answer.casefold()
+        if not any(w in folded for w in self.longest):
+            return False
         words = words_of(answer)
         if not words or not self.words or sum(w in self.vocabulary for w in words) < COPY_SHARE * len(self.words):
             return False
@@ -164,7 +176,7 @@ def language(text: str, least: float = LEAST) -> tuple[str, dict[str, float]] |
         if not told and word[1:2] == "’" and word[0] in "ldcjmnstLDCJMNST":
             told = ["fr", "fr", "it"]
         if not told and word.islower():
-            told = next(([ENDINGS[word[-n:]]] for n in (6, 5, 4, 3, 2) if len(word) > n + 2 and word[-n:] in ENDINGS), None) or next((LETTERS[c].split() for c in word if c in LETTERS), [])
+            told = next((ENDINGS[word[-n:]].split() for n in (6, 5, 4, 3, 2) if len(word) > n + 2 and word[-n:] in ENDINGS), None) or next((LETTERS[c].split() for c in word if c in LETTERS), [])
         for one in told:
             votes[one] = votes.get(one, 0) + 1 / len(told)
     if not votes:
@@ -174,6 +186,10 @@ def language(text: str, least: float = LEAST) -> tuple[str, dict[str, float]] |
 
 
 def is_foreign(answer: str, asked: tuple[str, dict[str, float]] | None) -> bool:
+    if asked is not None and (own := _ONLY.get(asked[0])):
+        words = set(answer.casefold().split())
+        if len(words & own[0]) > 1 and words.isdisjoint(own[1]):
+            return False  # plainly the prompt's language
     told = language(answer)
     if asked is None or told is None or told[0] == asked[0]:
         return False
