@@ -231,8 +231,10 @@ class Items:
                 open_at[at - end] = run
         if max(r[2] for r in runs) >= self.min_words:
             return True
+        if 3 * sum(r[2] for r in runs) < self.min_words:
+            return False
         runs.sort()
-        return self._chained(text, item, runs) or self._aligned(text, item, runs)
+        return len(runs) > 1 and self._chained(text, item, runs) or self._aligned(text, item, runs)
 
     def _chained(self, text: list[int], item: list[int], runs: list[list[int]]) -> bool:
         """Whether a chain from one run to another is long and true enough; quick, and right where it says so."""
