@@ -48,17 +48,23 @@ def chunk_count(n: Column, size: int, overlap: int) -> Column:
     return F.when(n <= 0, 0).when(n <= size, 1).otherwise((F.ceil((n - size) / F.lit(step)) + 1).cast("int")).cast("int")
 
 
-def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
-    """Windows of `size` words, each beginning `overlap` words (at most all but one) before the end of the one before; the
-    last is the first that reaches the end."""
+def windows(w: Column, size: int, overlap: int) -> Column:
+    """Windows of `size` words of an array, each beginning `overlap` words (at most all but one) before the end of the one
+    before; the last is the first that reaches the end. Give a column, not an expression, which would be evaluated anew
+    for every window."""
     if size < 1 or overlap < 0:
         raise ValueError("need size >= 1 and overlap >= 0")
-    w, step = words(text), max(1, size - overlap)
+    step = max(1, size - overlap)
     n = chunk_count(F.size(w), size, overlap)
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda k: F.array_join(F.slice(w, k * step + 1, F.lit(size)), " "))
 
 
+def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
+    """The windows of a text's words; `corpus.chunked` is the way for whole tables."""
+    return windows(words(text), size, overlap)
+
+
 def safe_stem(name: Column) -> Column:
     """The first 64 characters, with all but word characters and hyphens turned to underscores."""
     return F.left(F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "_"), F.lit(64))

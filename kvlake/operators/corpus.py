@@ -61,7 +61,8 @@ def chunked(records: DataFrame, how: str, size: int, overlap: int) -> DataFrame:
     """
     kept = records.select("seq", "base_id", "text").filter(F.length(T.strip(F.col("text"))) > 0)
     if how == "fixed":
-        each = kept.select("seq", "base_id", T.fixed_chunks(F.col("text"), size, overlap).alias("chunks"))
+        split = kept.select("seq", "base_id", T.words(F.col("text")).alias("w"))
+        each = split.select("seq", "base_id", T.windows(F.col("w"), size, overlap).alias("chunks"))
     elif how in _FOLDS:
         fold = _FOLDS[how]
         types = dict(kept.dtypes)
