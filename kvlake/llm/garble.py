@@ -5,7 +5,8 @@ First pass: in how many documents each pair of adjacent characters stands, over
 pair its mutual information; a pair counts as improbable where it lies far below what its characters' own shares ask
 for. A garbled pair is frequent among its own characters, so the share `RHO` that one kind of garbling may have is taken
 off the share of a pair with a character that stands for a single byte (of other pairs, at most a quarter of the rarer
-character's share), and no character's share counts as less than FLOOR; rarer ones make their pairs less probable.
+character's share), and no character's share counts as less than FLOOR; rarer ones make their pairs less probable. Runs that their form proves
+garbled are left out of the pairs' shares, so that a mistake standing in many documents does not become normal.
 
 Second pass: per text, improbable pairs are joined to maximum-scoring segments (characters between them cost), and only
 the runs of non-ASCII characters inside the segments are tested: encoded with what they may have been decoded with, and
@@ -19,6 +20,7 @@ SYMBOLS**2 bytes, whatever the corpus.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -55,6 +57,13 @@ LEGACY = (
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _REST = re.compile("[\u00c2\u00c3\u00e2]|[\u00e2\u00e3][\u00a1-\u00bf]|\u00f0[\u00a1-\u00bf]{0,2}")
 _LOST = re.compile("[\x80-\x84\x86-\x9f�]")
+#: What may rightly follow a word, so that a letter before it proves nothing, and what stands under or after a root.
+_CLOSING = frozenset("’”“‘…–—»›™®·†‡\u00a0")
+_ROOTS = frozenset("π∞Ω∑∏∫∂µ")
+_DOUBLE = frozenset(("gbk", "cp932", "big5", "cp949"))
+#: Russian letters by how often they stand in text, in hundredths of a percent.
+_RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (1097, 845, 801, 735, 670, 626, 547, 473, 454, 440, 349, 321, 298, 281, 262, 201, 190, 174, 170, 165, 159, 144, 121, 97, 94, 73, 64, 48, 36, 32, 26, 4, 4), strict=True))
+_BITS = {c: math.log2(33e-4 * n) for c, n in _RUSSIAN.items()}
 
 
 def _alphabet() -> np.ndarray:
@@ -83,6 +92,21 @@ def _alphabet() -> np.ndarray:
 ALPHABET = _alphabet()
 
 
+def _forms() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per code point one bit for each single-byte codec: begins two bytes of UTF-8, begins three or four, continues."""
+    two, more, rest = (np.zeros(0x110000, np.uint16) for _ in range(3))
+    for i, codec in enumerate(c for c in (*WESTERN, *OTHERS) if c not in _DOUBLE):
+        for byte in range(0x80, 0xF5):
+            c = ord(bytes([byte]).decode(codec, "ignore") or chr(byte))
+            for table, lo, hi in ((two, 0xC2, 0xE0), (more, 0xE0, 0xF5), (rest, 0x80, 0xC0)):
+                if lo <= byte < hi:
+                    table[c] |= 1 << i
+    return two, more, rest
+
+
+TWO, MORE, REST = _forms()
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -97,8 +121,117 @@ def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, np.flatnonzero(high[:-1] | high[1:]), starts
 
 
+def _runs(high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the runs of non-ASCII characters."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], high, [False]]).astype(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def _russian(text: str) -> float:
+    """Bits by which letters are those of Russian text; far below 0 for other characters and for odd case."""
+    if not (text.islower() or text.isupper() or text[:1].isupper() and text[1:].islower()):
+        return -99.0
+    return sum(_BITS.get(c, -11.6) for c in text.lower())
+
+
+def _odd(before: str, seq: str, after: str, told: str) -> bool:
+    """Whether the characters of one UTF-8 sequence cannot stand as they are: inside a word, or in no order of text."""
+    first, second = seq[0], seq[1]
+    if before.islower() and first.isupper() or before.isascii() and before.isalpha() and _script(first) not in ("", "LATIN", "CJK"):
+        return True
+    if first in "√├┬╨╤":
+        return before.isascii() and before.isalpha() and second not in _ROOTS and told.isalpha()
+    if second in _CLOSING:
+        return after.isalpha() and second in "”“…†‡™®" and first.isalpha()
+    if len(seq) > 2 and 0x2010 <= ord(told) < 0x2300:
+        return True
+    return first.isalpha() and not second.isalpha() and not 0x2500 <= ord(second) < 0x25A0
+
+
+def _proven(run: str, left: str, right: str) -> bool:
+    """Whether a run's form alone proves a mistake, whatever its share of the documents: bytes in UTF-8 whose characters
+    cannot stand so in text, or a long run that only another encoding makes words of."""
+    here = _russian(run) if _script(run[0]) == "CYRILLIC" else -20.0
+    if here >= 3 or len(run) > 1 and all(_common_cjk(c) for c in run):
+        return False  # right text
+    for codec in (*WESTERN, *OTHERS):
+        raw = _back(run, codec)
+        if raw is None:
+            continue
+        if codec not in _DOUBLE and len(raw) == len(run):
+            found = list(_UTF8.finditer(raw))
+            if 2 * sum(len(m[0]) for m in found) < len(raw) or not found:
+                continue
+            for m in found:
+                told = m[0].decode()
+                before, after = run[m.start() - 1] if m.start() else left, run[m.end()] if m.end() < len(run) else right
+                if _odd(before, run[m.start() : m.end()], after, told) and _plausible(told, *((left, right) if len(found) == 1 else ("", ""))):
+                    return True
+        try:
+            told = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        letters = [c for c in told if c.isalpha()]
+        scripts = {_script(c) for c in letters}
+        if len(letters) >= 3 and 2 * len(letters) >= len(told) and _plausible(told, left, right) and not all(0x2500 <= ord(c) < 0x25A0 for c in run):
+            if scripts <= {"CYRILLIC"} or scripts <= {"GREEK"} or scripts <= {"CJK", "HIRAGANA", "KATAKANA", "HANGUL"} and all(_common_cjk(c) or not 0x4E00 <= ord(c) < 0xA000 for c in letters):
+                return True
+    if len(run) < 5:
+        return False
+    for wrong, true in LEGACY:
+        if true == "cp1252" or (told := _told(run, wrong, true)) is None:
+            continue
+        if true in ("gbk", "big5", "cp932", "cp949"):
+            if len(told) >= 4 and all(_common_cjk(c) for c in told):
+                return True
+        elif told != run and _russian(told) >= max(3.0, here + 8):
+            return True
+    return False
+
+
+class Clean:
+    """Tells the pairs that stand in no run whose form proves a mistake; where one does, the document's other runs that
+    could be of that kind are left out too."""
+
+    def __init__(self) -> None:
+        self.kept: dict[tuple[str, str, str], bool] = {}
+
+    def proven(self, run: str, left: str, right: str) -> bool:
+        if len(run) > 64:
+            return _proven(run[:64], left, "")
+        key = (left, run, right)
+        if key not in self.kept:
+            if len(self.kept) >= KEEP:
+                self.kept.clear()
+            self.kept[key] = _proven(run, left, right)
+        return self.kept[key]
+
+    def places(self, texts: list[str], points: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        p, after, third = points[places], points[np.minimum(places + 1, len(points) - 1)], points[np.minimum(places + 2, len(points) - 1)]
+        shape = (TWO[p] & REST[after]) | (MORE[p] & REST[after] & REST[third])
+        glued = (p > 0xBF) & (after > 0xBF) & ((p < 0x530) | (p >= 0x2E80))
+        begins, ends = _runs(points > 127)
+        runs = np.unique(np.searchsorted(begins, places[(shape != 0) | glued], "right") - 1)
+        runs = runs[ends[runs] - begins[runs] > 1]
+        docs = np.searchsorted(starts, begins[runs], "right") - 1
+        out = np.zeros(len(points) + 1, bool)
+        sure = set()
+        for r, doc in zip(runs.tolist(), docs.tolist(), strict=True):
+            if doc in sure:
+                continue
+            at, to = int(begins[r] - starts[doc]), int(ends[r] - starts[doc])
+            text = texts[doc]
+            if self.proven(text[at:to], text[max(0, at - 1) : at], text[to : to + 1]):
+                sure.add(doc)
+        for r, doc in zip(runs.tolist(), docs.tolist(), strict=True):
+            if doc in sure:
+                out[max(0, begins[r] - 1) : ends[r]] = True
+        return places[~out[places]]
+
+
 def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """a, b, n: the number of documents with the pair of symbols; (a, -1) of those with the symbol, (-1, -1) of all."""
+    """a, b, n: the number of documents with the pair of symbols in a run not proven garbled by its form; (a, -1) of
+    those with the symbol, (-1, -1) of all."""
     kept = df.select(F.col(text).alias("text")).filter(F.length("text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +239,7 @@ def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
         codes: list[np.ndarray] = []
         total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
         docs = 0
+        clean = Clean()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 texts = batch.column(0).slice(at, STEP).to_pylist()
@@ -113,6 +247,8 @@ def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
                 for t in texts:
                     single.update(set(t))
                 points, places, starts = _pairs(texts)
+                if len(places):
+                    places = clean.places(texts, points, places, starts)
                 if len(places):
                     doc = np.searchsorted(starts, places, "right").astype(np.int64)
                     s = ALPHABET[points[places]].astype(np.int64) * SYMBOLS + ALPHABET[points[places + 1]]
@@ -169,6 +305,13 @@ def _back(run: str, codec: str) -> bytes | None:
         return out
 
 
+def _told(run: str, wrong: str, true: str) -> str | None:
+    try:
+        return raw.decode(true) if (raw := _back(run, wrong)) is not None else None
+    except UnicodeDecodeError:
+        return None
+
+
 def _clean(text: str) -> bool:
     return all(unicodedata.category(c) not in ("Cn", "Cc", "Co", "Cs") or c in "\n\r\t" for c in text)
 
@@ -268,6 +411,22 @@ class Finder:
             return raw.decode("ascii"), "utf-16<ascii"
         return (best[1], best[2]) if best else None
 
+    def _cyrillic(self, runs: list[str]) -> tuple[str, str] | None:
+        """The codecs by which a document's runs are Russian, by fixed shares of letters: the table may hold no other
+        Russian text, or hold this mistake often."""
+        words = [r for r in {*runs} if r.isalpha()]
+        if max(map(len, words), default=0) < 4:
+            return None
+        here = sum(max(-20.0, _russian(w)) for w in words) if any(_script(w[0]) == "CYRILLIC" for w in words) else 0.0
+        best, codecs = max(8.0, here + 8), None
+        for wrong, true in LEGACY:
+            if true not in ("cp1251", "koi8_r", "cp866"):
+                continue
+            told = [_told(w, wrong, true) for w in words]
+            if None not in told and (bits := sum(max(-20.0, _russian(t)) for t in told)) > best:
+                best, codecs = bits, (wrong, true)
+        return codecs
+
     def _rest(self, run: str, left: str, right: str) -> tuple[str, str] | None:
         """What is left of a UTF-8 sequence whose control characters were dropped, standing apart from letters."""
         if left[-1:].isalpha() or right[:1].isalpha() or not _REST.fullmatch(run):
@@ -303,6 +462,18 @@ class Finder:
         if begin >= 0:
             yield begin, end
 
+    def _fixes(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+        """What the opened runs of a text become, and by which mistake."""
+        out = []
+        codecs = self._cyrillic([text[at:to] for at, to in spans])
+        for at, to in spans:
+            run = text[at:to]
+            if codecs and (told := _told(run, *codecs)) and told != run and _clean(told) and {_script(c) for c in told} <= {"", "CYRILLIC"} and (not run.isalpha() or _russian(told) > _russian(run)):
+                out.append((at, to, told, f"{codecs[0]}<{codecs[1]}"))
+            elif fix := self.repair(run, text[max(0, at - 1) : at], text[to : to + 1]):
+                out.append((at, to, *fix))
+        return out
+
     def find(self, texts: list[str]) -> list[tuple[str, list[str]] | None]:
         """Per text None, or the text with what could be repaired, and the mistakes made."""
         points, places, starts = _pairs(texts)
@@ -310,9 +481,8 @@ class Finder:
         if not len(places):
             return out
         high = points > 127
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], high, [False]]).astype(np.int8)))
-        run_starts, run_ends = edges[::2], edges[1::2]
-        changes: dict[int, list[tuple[int, int, str, str]]] = {}
+        run_starts, run_ends = _runs(high)
+        opened: dict[int, list[tuple[int, int]]] = {}
         seen = -1
         for begin, end in self.segments(points, places):
             lo, hi = np.searchsorted(run_ends, begin, "right"), np.searchsorted(run_starts, end, "left")
@@ -320,11 +490,8 @@ class Finder:
                 seen = r
                 a, b = int(run_starts[r]), int(run_ends[r])
                 doc = int(np.searchsorted(starts, a, "right")) - 1
-                text, at = texts[doc], a - int(starts[doc])
-                to = at + b - a
-                fix = self.repair(text[at:to], text[max(0, at - 1) : at], text[to : to + 1])
-                if fix:
-                    changes.setdefault(doc, []).append((at, to, *fix))
+                opened.setdefault(doc, []).append((a - int(starts[doc]), b - int(starts[doc])))
+        changes = {doc: self._fixes(texts[doc], spans) for doc, spans in opened.items()}
         for doc, text in enumerate(texts):
             own = changes.get(doc, [])
             if not own and not _LOST.search(text):

@@ -23,3 +23,25 @@ def test_made_mistakes_are_found_and_undone(spark):
     assert set(got) == {i for i, _, _ in made} | {6000, 6001}
     assert got[5000].restored == CLEAN[0] and got[5002].restored == CLEAN[2] and got[5008].restored == "a naïve word" and got[6001].restored is None
     assert garble.garbled(df.limit(0)).count() == 0
+
+
+def found(spark, rows):
+    return {r.doc_id: r for r in garble.garbled(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+
+
+def test_one_document_alone(spark):
+    for text, wrong, true in ((CLEAN[1], "cp1252", "utf-8"), (CLEAN[4], "mac_roman", "utf-8"), (CLEAN[2], "cp437", "utf-8"), (CLEAN[5], "cp1251", "utf-8"), (CLEAN[5], "latin-1", "cp1251"), (CLEAN[6], "latin-1", "gbk")):
+        raw = text.encode(true, "ignore")
+        bad = raw.decode(wrong, "ignore")
+        if wrong == "cp1252" and "\xa0" in bad or raw.decode(wrong, "replace") != bad:
+            bad = raw.decode("latin-1")
+        assert found(spark, [(1, bad)])[1].restored == text, (wrong, true)
+    assert found(spark, [(1, CLEAN[0])]) == found(spark, [(1, "┌──┬──┐\n├──┼──┤\n└──┴──┘ É” IRMÔ… 2√π")]) == {}
+
+
+def test_a_third_of_the_rows_alike(spark):
+    own = {1: (CLEAN[1], "latin-1", "utf-8"), 2: (CLEAN[2], "cp850", "utf-8"), 3: (CLEAN[5], "latin-1", "cp1251")}
+    for text, wrong, true in own.values():
+        rows = [(i, f"{text} Nr {i}.".encode(true).decode(wrong) if i % 3 == 0 else f"{CLEAN[i % len(CLEAN)]} Nr {i}.") for i in range(600)]
+        got = found(spark, rows)
+        assert set(got) == set(range(0, 600, 3)) and all(r.restored == f"{text} Nr {i}." for i, r in got.items())
