@@ -25,6 +25,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,16 @@ def _forms() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 TWO, MORE, REST = _forms()
+#: Of the pairs of legacy codecs those of Western text.
+_WEST = tuple(x for x in LEGACY if {*x} <= {*WESTERN} or x == ("cp1251", "cp1252"))
+#: Small letters of Western text, and what they become under those pairs and cannot stand inside a word as.
+_SMALL = frozenset("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß")
+_ODD = frozenset(
+    c for wrong, true in _WEST for small in _SMALL for c in small.encode(true, "ignore").decode(wrong, "ignore")
+    if c not in _CLOSING and ord(c) > 0x9F and (c == "ƒ" or not (c.islower() and unicodedata.name(c, "").startswith("LATIN")))
+)
+INSIDE = np.zeros(0x110000, bool)
+INSIDE[[ord(c) for c in _ODD]] = True
 
 
 def _points(text: str) -> np.ndarray:
@@ -189,6 +200,12 @@ def _proven(run: str, left: str, right: str) -> bool:
     return False
 
 
+def _glued(left: str, run: str, right: str) -> bool:
+    """Whether a short run stands in a word of small letters as none of them."""
+    small = "a" <= left <= "z"
+    return small and _ODD.issuperset(run) and ("a" <= right <= "z" or run.isupper())
+
+
 class Clean:
     """Tells the pairs that stand in no run whose form proves a mistake; where one does, the document's other runs that
     could be of that kind are left out too."""
@@ -226,6 +243,9 @@ class Clean:
         for r, doc in zip(runs.tolist(), docs.tolist(), strict=True):
             if doc in sure:
                 out[max(0, begins[r] - 1) : ends[r]] = True
+        low = (points > 96) & (points < 123)
+        inside = np.flatnonzero(INSIDE[points[1:-1]] & low[:-2] & low[2:])  # a sign that is no small letter, between small letters
+        out[inside] = out[inside + 1] = True
         return places[~out[places]]
 
 
@@ -312,6 +332,9 @@ def _told(run: str, wrong: str, true: str) -> str | None:
         return None
 
 
+_told_short = lru_cache(1 << 16)(_told)  # for runs of one or two characters
+
+
 def _clean(text: str) -> bool:
     return all(unicodedata.category(c) not in ("Cn", "Cc", "Co", "Cs") or c in "\n\r\t" for c in text)
 
@@ -472,7 +495,31 @@ class Finder:
                 out.append((at, to, told, f"{codecs[0]}<{codecs[1]}"))
             elif fix := self.repair(run, text[max(0, at - 1) : at], text[to : to + 1]):
                 out.append((at, to, *fix))
-        return out
+        done = {at for at, *_ in out}
+        return sorted(out + self._western(text, [x for x in spans if x[0] not in done]))
+
+    def _western(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+        """Short runs by the one pair of codecs that makes Western letters of them, weighed over the whole text."""
+        runs = [(at, to, text[max(0, at - 1) : at], text[at:to], text[to : to + 1]) for at, to in spans if to - at < 3]
+        if sum(map(self.bad, {"".join(x[2:]) for x in runs if _glued(*x[2:])})) <= LEGACY_GAIN:
+            return []
+        best: tuple[float, list[tuple[int, int, str, str]]] = (LEGACY_GAIN, [])
+        for wrong, true in _WEST:
+            gains: dict[tuple[str, str, str], tuple[float, float]] = {}
+            fixes = []
+            for at, to, left, run, right in runs:
+                told = _told_short(run, wrong, true)
+                if not told or told == run or not (_SMALL.issuperset(told) or told.isalpha() and _SMALL.issuperset(told.lower()) and not left.islower()) or not (left.isalpha() or right.isalpha()):
+                    continue
+                before, after = self.bad(left + run + right), self.bad(left + told + right)
+                if after < before:
+                    fixes.append((at, to, told, f"{wrong}<{true}"))
+                    if _glued(left, run, right):
+                        gains[left, run, right] = before, after
+            total, rest = sum(b for b, _ in gains.values()), sum(a for _, a in gains.values())
+            if total - rest > best[0] and 2 * rest <= total:
+                best = total - rest, fixes
+        return best[1]
 
     def find(self, texts: list[str]) -> list[tuple[str, list[str]] | None]:
         """Per text None, or the text with what could be repaired, and the mistakes made."""

@@ -45,3 +45,14 @@ def test_a_third_of_the_rows_alike(spark):
         rows = [(i, f"{text} Nr {i}.".encode(true).decode(wrong) if i % 3 == 0 else f"{CLEAN[i % len(CLEAN)]} Nr {i}.") for i in range(600)]
         got = found(spark, rows)
         assert set(got) == set(range(0, 600, 3)) and all(r.restored == f"{text} Nr {i}." for i, r in got.items())
+
+
+def test_single_letters_of_legacy_codecs(spark):
+    french, german = "La décision de la régie a précédé les opérations.", "Ein größerer Puffer überholt die ältere Prüfung; später hört der Wächter auf."
+    made = [(french, w, t) for w, t in (("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1251", "cp1252"))]
+    made += [(german, w, t) for w, t in (("mac_roman", "cp1252"), ("cp850", "cp1252"))]
+    clean = [(i, (french, german, *CLEAN)[i % 10] + f" Nr {i}.") for i in range(500)]
+    got = found(spark, [*clean, *((1000 + i, x.encode(t).decode(w)) for i, (x, w, t) in enumerate(made))])
+    assert {i: r.restored for i, r in got.items()} == {1000 + i: x for i, (x, _, _) in enumerate(made)}
+    often = [(i, french.encode("mac_roman").decode("cp1252") if i % 3 == 0 else x) for i, x in clean]
+    assert set(found(spark, often)) == set(range(0, 500, 3))
