@@ -341,11 +341,10 @@ def manifest_verify(spark: SparkSession, root: str) -> DataFrame:
 
 
 def precompute_missing(spark: SparkSession, root: str) -> DataFrame:
-    """Documents in force that a store has no row of, for layer 0 of two schemes."""
-    docs = read_table(spark, root, "corpus").filter("removed_at IS NULL AND id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
-    have = _manifest(spark, root).select("doc_id", "layer", "scheme").distinct()
-    wanted = docs.select("doc_id", F.lit(0).alias("layer"), F.explode(F.array(F.lit("fp16"), F.lit("turbo_prod"))).alias("scheme"))
-    return wanted.join(have, ["doc_id", "layer", "scheme"], "left_anti")
+    """What stores lack of the documents in force, by all layers and schemes in force."""
+    docs = read_table(spark, root, "corpus").filter("removed_at IS NULL AND id IS NOT NULL").select(F.col("id").alias("doc_id"))
+    registry = read_table(spark, root, "layer_registry").filter("retired_at IS NULL").select("layer_key", "layer", "scheme")
+    return st.missing_layers(docs, registry, read_table(spark, root, "manifest"))
 
 
 def migrate_plan(spark: SparkSession, root: str) -> DataFrame:

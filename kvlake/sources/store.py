@@ -41,6 +41,21 @@ def manifest_rows(manifest: DataFrame, entries: str = "entries", keys: tuple[str
     return flat.select(*keys, "doc_id", "sha256", F.expr("try_cast(split(lk, '::')[0] as int)").alias("layer"), F.expr("get(split(lk, '::'), 1)").alias("scheme"), "s.key", "s.num_tokens", "s.stored_at")
 
 
+def missing_layers(docs: DataFrame, registry: DataFrame, manifest: DataFrame) -> DataFrame:
+    """store_name, doc_id, layer, scheme that is not stored: of each document (doc_id) every layer and scheme of the
+    registry (layer_key, layer, scheme) that a store naming the document has in none of its manifests, and all of them,
+    with a null store, where no store names it. Layer keys match only if exactly equal.
+
+    Plan: manifests shrink to one set of keys per store and document before the join; the registry goes along as one row.
+    """
+    held = manifest.select("store_name", F.explode("entries").alias("doc_id", "e")).select("store_name", "doc_id", F.coalesce(F.map_keys("e.layers"), F.array().cast("array<string>")).alias("keys"))
+    held = held.groupBy("store_name", "doc_id").agg(F.array_distinct(F.flatten(F.collect_set("keys"))).alias("keys"))
+    wanted = registry.agg(F.collect_set(F.struct("layer_key", "layer", "scheme")).alias("wanted"))
+    each = docs.distinct().join(held, "doc_id", "left").crossJoin(F.broadcast(wanted))
+    lacking = F.filter("wanted", lambda w: ~F.array_contains(F.coalesce("keys", F.array().cast("array<string>")), w["layer_key"]))
+    return each.select("store_name", "doc_id", F.explode(lacking).alias("w")).select("store_name", "doc_id", "w.layer", "w.scheme")
+
+
 def latest(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Of the rows of one document, layer and scheme the one stored last (of equal times the one with the greatest key)."""
     keys = keys or ID

@@ -94,3 +94,26 @@ def test_migration(spark, tmp_path):
     assert migrate.apply(planned, str(tmp_path)) == {"rename": 2, "skip": 1, "adopt": 1, "error": 0} and (tmp_path / names[0]).exists()
     migrate.apply(planned, str(tmp_path), dry_run=False)
     assert (tmp_path / f"{new('a')}_L00_two_parts.meta").exists() and not (tmp_path / names[0]).exists() and (tmp_path / names[2]).exists()
+
+
+def test_missing_layers(spark):
+    registry = spark.createDataFrame([("0::a", 0, "a"), ("0::a", 0, "a"), ("1::a", 1, "a"), ("1::b", 1, "b")], "layer_key string, layer int, scheme string")
+    layer = "struct<key:string,num_tokens:int,stored_at:double>"
+    rows = [
+        ("s", {"x": ("h", {"0::a": ("k", 1, 1.0)}), "y": ("h", {"0::a": ("k", 1, 1.0), "1::a": ("k", 1, 1.0), "1::b": ("k", 1, 1.0)}), "e": ("h", {}), "n": ("h", None), "gone": ("h", {})}),
+        ("s", {"x": ("h", {"1::b ": ("k", 1, 1.0), "1::a": ("k", 1, 1.0)})}), ("t", {"x": ("h", {"1::b": ("k", 1, 1.0)})}), ("u", None), ("v", {}),
+    ]
+    manifest = spark.createDataFrame(rows, f"store_name string, entries map<string,struct<sha256:string,layers:map<string,{layer}>>>")
+    docs = spark.createDataFrame([("x",), ("y",), ("e",), ("n",), ("new",)], "doc_id string")
+    got = sorted(map(tuple, st.missing_layers(docs, registry, manifest).collect()), key=str)
+    all_ = [(0, "a"), (1, "a"), (1, "b")]
+    want = [("s", "x", 1, "b"), ("t", "x", 0, "a"), ("t", "x", 1, "a"), *((s, d, *k) for s, d in (("s", "e"), ("s", "n"), (None, "new")) for k in all_)]
+    assert got == sorted(want, key=str)
+
+
+def test_precompute_missing_takes_all_layers(spark):
+    from kvlake.plans import catalogue
+
+    got = catalogue.precompute_missing(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["store_name", "doc_id", "layer", "scheme"]
+    assert got.select("layer").distinct().count() == 36 and got.select("scheme").distinct().count() == 5
