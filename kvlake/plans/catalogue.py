@@ -367,11 +367,11 @@ def store_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     """Stored, verified and read again: errors by scheme and part."""
     own = st.Store(spark, _folder(spark, root, "store"), DIM)
     vectors = cache(spark, root)
-    for name in ("mse4", "prod4"):
+    for name in schemes.SCHEMES:
         own.pack(vectors, name)
     own.verify(strict=True)
     out = []
-    for name in ("mse4", "prod4"):
+    for name in schemes.SCHEMES:
         back = schemes.restore(own.entries(name), name, DIM).select("doc_id", "layer", "head", "token", F.col("k").alias("k1"), F.col("v").alias("v1"))
         both = vectors.join(back, ["doc_id", "layer", "head", "token"])
         sides = F.array(F.struct(F.lit("k").alias("part"), F.col("k").alias("a"), F.col("k1").alias("b")), F.struct(F.lit("v").alias("part"), F.col("v").alias("a"), F.col("v1").alias("b")))
@@ -380,10 +380,10 @@ def store_roundtrip(spark: SparkSession, root: str) -> DataFrame:
 
 
 def dynamic_cache(spark: SparkSession, root: str) -> DataFrame:
-    """One document's heads as arrays in token order, from a store."""
+    """Every document's heads as arrays in token order, from a store: their length and checksums over all values."""
     own = st.Store(spark, _folder(spark, root, "dynamic"), DIM)
     own.pack(cache(spark, root), "dense16")
-    return own.dynamic_cache("0", 4, "dense16").select("layer", "head", F.size("keys").alias("tokens"), F.round(F.get(F.get("keys", F.lit(3)), F.lit(5)).cast("double"), 6).alias("k35"), F.round(F.get(F.get("values", F.lit(3)), F.lit(5)).cast("double"), 6).alias("v35"))
+    return own.dynamic_caches(4, "dense16").select("doc_id", "layer", "head", F.size("keys").alias("tokens"), F.xxhash64("keys").alias("k_sum"), F.xxhash64("values").alias("v_sum"))
 
 
 # ---------------------------------------------------------------- references

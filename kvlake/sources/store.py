@@ -156,10 +156,16 @@ class Store:
     def dynamic_cache(self, doc_id: str, layers: int, scheme: str) -> DataFrame:
         """layer, head, keys, values (arrays of vectors in token order): the layers below `layers` that are stored. One
         group is one head's tokens of one document."""
-        rows = self.entries(scheme).filter((F.col("doc_id") == doc_id) & (F.col("layer") < layers))
+        return self._heads(self.entries(scheme).filter((F.col("doc_id") == doc_id) & (F.col("layer") < layers)), scheme).drop("doc_id")
+
+    def dynamic_caches(self, layers: int, scheme: str) -> DataFrame:
+        """The same of every document, with its doc_id."""
+        return self._heads(self.entries(scheme).filter(F.col("layer") < layers), scheme)
+
+    def _heads(self, rows: DataFrame, scheme: str) -> DataFrame:
         whole = schemes.restore(rows, scheme, self.dim)
-        ordered = whole.groupBy("layer", "head").agg(F.sort_array(F.collect_list(F.struct("token", "k", "v"))).alias("x"))
-        return ordered.select("layer", "head", F.col("x.k").alias("keys"), F.col("x.v").alias("values"))
+        ordered = whole.groupBy("doc_id", "layer", "head").agg(F.sort_array(F.collect_list(F.struct("token", "k", "v"))).alias("x"))
+        return ordered.select("doc_id", "layer", "head", F.col("x.k").alias("keys"), F.col("x.v").alias("values"))
 
     def attend(self, queries: DataFrame, scheme: str) -> DataFrame:
         """Attention on the stored codes; queries have q_id, doc_id, layer, head, q. ValueError for an unknown scheme."""

@@ -117,3 +117,17 @@ def test_precompute_missing_takes_all_layers(spark):
     got = catalogue.precompute_missing(spark, "/root/testdata/sf0.001")
     assert got.columns == ["store_name", "doc_id", "layer", "scheme"]
     assert got.select("layer").distinct().count() == 36 and got.select("scheme").distinct().count() == 5
+
+
+def test_whole_store_is_read_again(spark):
+    from kvlake.operators import schemes
+    from kvlake.plans import catalogue
+
+    root = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.layer, r.head): (r.tokens, r.k_sum, r.v_sum) for r in catalogue.dynamic_cache(spark, root).collect()}
+    plain = schemes.restore(schemes.pack(catalogue.cache(spark, root), "dense16", catalogue.DIM), "dense16", catalogue.DIM)
+    heads = plain.groupBy("doc_id", "layer", "head").agg(F.sort_array(F.collect_list(F.struct("token", "k", "v"))).alias("x"))
+    sums = heads.select("doc_id", "layer", "head", F.size("x"), F.xxhash64("x.k"), F.xxhash64("x.v")).collect()
+    assert len(sums) == 20 and got == {tuple(r[:3]): tuple(r[3:]) for r in sums}
+    errors = {tuple(r) for r in catalogue.store_roundtrip(spark, root).collect()}
+    assert errors == {tuple(r) for r in catalogue.roundtrip_error(spark, root).collect()} and {r[0] for r in errors} == {*schemes.SCHEMES}
