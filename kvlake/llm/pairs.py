@@ -49,8 +49,6 @@ for _language, _words in STOPWORDS.items():
     for _w in _words.split():
         _VOTES.setdefault(_w, []).append(_language)
 
-#: Per language, its words and the words of others only.
-_ONLY = {one: (frozenset(STOPWORDS[one].split()), frozenset(w for o, ws in STOPWORDS.items() if o != one for w in ws.split()) - frozenset(STOPWORDS[one].split())) for one in STOPWORDS}
 #: Endings of lower-case words that speak for a language.
 ENDINGS = {"ador": "es pt", "ção": "pt", "ções": "pt", "ão": "pt", "ción": "es", "ciones": "es", "miento": "es", "ung": "de", "keit": "de", "lich": "de", "isch": "de", "ement": "fr", "ées": "fr", "ée": "fr", "euse": "fr", "zione": "it", "zioni": "it", "heid": "nl", "ing": "en", "ness": "en"}
 #: Letters that speak for a language in lower-case words.
@@ -186,10 +184,6 @@ def language(text: str, least: float = LEAST) -> tuple[str, dict[str, float]] |
 
 
 def is_foreign(answer: str, asked: tuple[str, dict[str, float]] | None) -> bool:
-    if asked is not None and (own := _ONLY.get(asked[0])):
-        words = set(answer.casefold().split())
-        if len(words & own[0]) > 1 and words.isdisjoint(own[1]):
-            return False  # plainly the prompt's language
     told = language(answer)
     if asked is None or told is None or told[0] == asked[0]:
         return False

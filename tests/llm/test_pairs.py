@@ -34,3 +34,8 @@ def test_rows(spark):
 
 def test_very_long_answer():
     assert pairs.defect("The loader holds it. " * 50_000, pairs.Prompt(EN)) is None
+
+
+def test_foreign_answer_that_quotes_the_question():
+    for answer in ("加载器在“ the page and the loader ”的情况下复用最大的文档，位于第17层，并且会继续处理后面的所有请求。", "Загрузчик страниц при условии “ the page and the loader ” переписывает самые старые блоки и затем продолжает работу."):
+        assert pairs.defect(answer, pairs.Prompt(EN)) == "language"
