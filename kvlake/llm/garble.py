@@ -5,13 +5,17 @@ First pass: in how many documents each pair of adjacent characters stands, over
 pair its mutual information; a pair counts as improbable where it lies far below what its characters' own shares ask
 for. A garbled pair is frequent among its own characters, so the share `RHO` that one kind of garbling may have is taken
 off the share of a pair with a character that stands for a single byte (of other pairs, at most a quarter of the rarer
-character's share), and no character's share counts as less than FLOOR; rarer ones make their pairs less probable. Runs that their form proves
+character's share; of a small Western letter beside an ASCII character, as words are spelt, `RHO_SPELT`), and no
+character's share counts as less than FLOOR; rarer ones make their pairs less probable. Runs that their form proves
 garbled are left out of the pairs' shares, so that a mistake standing in many documents does not become normal.
 
 Second pass: per text, improbable pairs are joined to maximum-scoring segments (characters between them cost), and only
-the runs of non-ASCII characters inside the segments are tested: encoded with what they may have been decoded with, and
-decoded as what the bytes may have been. UTF-8 proves itself by its form; a legacy encoding has to make the run clearly
-more probable. A replacement character, or a C1 control other than NEL, is garbled without a test.
+the runs of non-ASCII characters inside segments of `OPEN` bits or more are tested: encoded with what they may have been
+decoded with, and decoded as what the bytes may have been. UTF-8 proves itself by its form; a legacy encoding has to make
+the run clearly more probable. A replacement character, or a C1 control other than NEL, is garbled without a test.
+
+A run's inverse mappings are looked up character by character in tables made once for each codec, and a mask of the codecs
+that hold all its characters decides which are tried.
 
 Plan: two narrow passes over the texts in Arrow batches; the counts are summed per task, then shuffled (at most
 SYMBOLS**2 rows per task, in practice some ten thousand), and the matrix that is broadcast has the fixed size of
@@ -23,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,9 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = 2048
-RHO, FLOOR = 0.05, 0.02
+RHO, RHO_SPELT, FLOOR = 0.05, 0.005, 0.02
 #: Bits above which a pair is improbable, what a character between two of them costs, and the most a pair may count.
 TAU, GAP, MOST = 2.5, 1.0, 12.0
+#: Bits that a segment needs for its runs to be tested.
+OPEN = 3.0
 #: Most bits that a character rarer than FLOOR adds, half of them to each of its two pairs.
 RARE = 6.0
 #: Bits that a run must gain by a repair: as UTF-8, whose form is worth some bits for each character, or as a legacy
@@ -102,10 +108,13 @@ def _forms() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for table, lo, hi in ((two, 0xC2, 0xE0), (more, 0xE0, 0xF5), (rest, 0x80, 0xC0)):
                 if lo <= byte < hi:
                     table[c] |= 1 << i
+                    if byte < 0xA0:
+                        table[byte] |= 1 << i  # as a control, where the codec was taken for a plainer one
     return two, more, rest
 
 
 TWO, MORE, REST = _forms()
+_TWO, _MORE, _REST_OF = ({chr(c): int(table[c]) for c in np.flatnonzero(table)} for table in (TWO, MORE, REST))
 #: Of the pairs of legacy codecs those of Western text.
 _WEST = tuple(x for x in LEGACY if {*x} <= {*WESTERN} or x == ("cp1251", "cp1252"))
 #: Small letters of Western text, and what they become under those pairs and cannot stand inside a word as.
@@ -118,6 +127,62 @@ INSIDE = np.zeros(0x110000, bool)
 INSIDE[[ord(c) for c in _ODD]] = True
 
 
+#: Codecs in the order of their bits in `_form`, then the others.
+_SINGLE = [c for c in (*WESTERN, *OTHERS) if c not in _DOUBLE]
+_WRONG = tuple(dict.fromkeys([*_SINGLE, *_DOUBLE, *(wrong for wrong, _ in LEGACY)]))
+_BIT = {c: 1 << i for i, c in enumerate(_WRONG)}
+
+
+class _Reverse(dict):
+    """A codec's characters to bytes, filled as characters come up; C1 controls stand for bytes that it does not define."""
+
+    def __init__(self, codec: str):
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, c: str) -> bytes | None:
+        try:
+            raw = c.encode(self.codec)
+        except UnicodeEncodeError:
+            raw = bytes([ord(c)]) if 0x80 <= ord(c) <= 0x9F else None
+        self[c] = raw
+        return raw
+
+
+class _Able(dict):
+    """A character to the mask of the codecs that hold it."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = mask = sum(bit for codec, bit in _BIT.items() if _BYTES[codec][c] is not None)
+        return mask
+
+
+_BYTES = {c: _Reverse(c) for c in _WRONG}
+_MANY = sum(_BIT[c] for c in _DOUBLE)
+_WEST_BITS = sum(_BIT[c] for c in WESTERN)
+_ABLE = _Able()
+
+
+def _able(run: str) -> int:
+    """The mask of the codecs that a run may have been decoded with."""
+    mask = -1
+    for c in run:
+        mask &= _ABLE[c]
+    return mask
+
+
+def _form(run: str) -> int:
+    """The mask of the single-byte codecs under which some characters of a run begin and continue UTF-8."""
+    two, more, rest = _TWO.get, _MORE.get, _REST_OF.get
+    mask = 0
+    for i in range(len(run) - 1):
+        if follows := rest(run[i + 1], 0):
+            mask |= two(run[i], 0) & follows
+            if i + 2 < len(run):
+                mask |= more(run[i], 0) & follows & rest(run[i + 2], 0)
+    return mask
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -165,10 +230,12 @@ def _proven(run: str, left: str, right: str) -> bool:
     here = _russian(run) if _script(run[0]) == "CYRILLIC" else -20.0
     if here >= 3 or len(run) > 1 and all(_common_cjk(c) for c in run):
         return False  # right text
-    for codec in (*WESTERN, *OTHERS):
-        raw = _back(run, codec)
-        if raw is None:
+    able = _able(run)
+    tried = able & (_form(run) | _MANY)
+    for codec in (*WESTERN, *OTHERS) if tried else ():
+        if not tried & _BIT[codec]:
             continue
+        raw = _back(run, codec)
         if codec not in _DOUBLE and len(raw) == len(run):
             found = list(_UTF8.finditer(raw))
             if 2 * sum(len(m[0]) for m in found) < len(raw) or not found:
@@ -190,7 +257,7 @@ def _proven(run: str, left: str, right: str) -> bool:
     if len(run) < 5:
         return False
     for wrong, true in LEGACY:
-        if true == "cp1252" or (told := _told(run, wrong, true)) is None:
+        if true == "cp1252" or not able & _BIT[wrong] or (told := _told(run, wrong, true)) is None:
             continue
         if true in ("gbk", "big5", "cp932", "cp949"):
             if len(told) >= 4 and all(_common_cjk(c) for c in told):
@@ -249,39 +316,61 @@ class Clean:
         return places[~out[places]]
 
 
+class Counts:
+    """The numbers of documents with each pair of symbols and with each symbol."""
+
+    def __init__(self) -> None:
+        self.docs = 0
+        self.single = np.zeros(SYMBOLS, np.int64)
+        self.codes: list[np.ndarray] = []
+        self.pending = 0
+        self.pairs, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.clean = Clean()
+
+    def add(self, texts: list[str]) -> None:
+        self.docs += len(texts)
+        points, places, starts = _pairs(texts)
+        symbols = ALPHABET[points]
+        there = np.zeros((len(texts), SYMBOLS), bool)
+        there[np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(points)))), symbols] = True
+        self.single += there.sum(axis=0)
+        if len(places):
+            places = self.clean.places(texts, points, places, starts)
+        if len(places):
+            doc = np.searchsorted(starts, places, "right").astype(np.int64)
+            own = symbols[places].astype(np.int64) * SYMBOLS + symbols[places + 1]
+            self.codes.append(np.unique(doc * SYMBOLS * SYMBOLS + own) % (SYMBOLS * SYMBOLS))
+            self.pending += len(self.codes[-1])
+            if self.pending > 1 << 20:
+                self._sum()
+
+    def _sum(self) -> None:
+        own = [np.unique(np.concatenate(self.codes or [self.pairs[:0]]), return_counts=True), (self.pairs, self.n)]
+        pairs, n = (np.concatenate(x) for x in zip(*own, strict=True))
+        self.pairs, where = np.unique(pairs, return_inverse=True)
+        self.n = np.bincount(where, n, len(self.pairs)).astype(np.int64)
+        self.codes, self.pending = [], 0
+
+    def rows(self) -> tuple[list[int], list[int], list[int]]:
+        """a, b, n as `pair_counts` gives them."""
+        self._sum()
+        there = np.flatnonzero(self.single)
+        a = [*(self.pairs // SYMBOLS).tolist(), *there.tolist(), -1]
+        b = [*(self.pairs % SYMBOLS).tolist(), *[-1] * len(there), -1]
+        return a, b, [*self.n.tolist(), *self.single[there].tolist(), self.docs]
+
+
 def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """a, b, n: the number of documents with the pair of symbols in a run not proven garbled by its form; (a, -1) of
     those with the symbol, (-1, -1) of all."""
     kept = df.select(F.col(text).alias("text")).filter(F.length("text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single: Counter[str] = Counter()
-        codes: list[np.ndarray] = []
-        total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
-        docs = 0
-        clean = Clean()
+        counts = Counts()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
-                texts = batch.column(0).slice(at, STEP).to_pylist()
-                docs += len(texts)
-                for t in texts:
-                    single.update(set(t))
-                points, places, starts = _pairs(texts)
-                if len(places):
-                    places = clean.places(texts, points, places, starts)
-                if len(places):
-                    doc = np.searchsorted(starts, places, "right").astype(np.int64)
-                    s = ALPHABET[points[places]].astype(np.int64) * SYMBOLS + ALPHABET[points[places + 1]]
-                    codes = [np.unique(doc * SYMBOLS * SYMBOLS + s) % (SYMBOLS * SYMBOLS)]
-                    total += np.bincount(codes[0], minlength=SYMBOLS * SYMBOLS)
-        there = np.flatnonzero(total)
-        chars: Counter[int] = Counter()
-        for c, n in single.items():
-            chars[int(ALPHABET[ord(c)])] += n  # of a class, its characters' sum: an upper bound, cut at the number of documents
-        a = [*(there // SYMBOLS).tolist(), *chars, -1]
-        b = [*(there % SYMBOLS).tolist(), *[-1] * len(chars), -1]
-        n = [*total[there].tolist(), *chars.values(), docs]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(n, pa.int64())], ["a", "b", "n"])
+                counts.add(batch.column(0).slice(at, STEP).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(counts.rows(), (pa.int32(), pa.int32(), pa.int64()), strict=True)], ["a", "b", "n"])
 
     return kept.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -301,6 +390,11 @@ def improbability(counts: list[tuple[int, int, int]]) -> np.ndarray:
         for c in bytes(range(128, 256)).decode(codec, "ignore"):
             byte[ALPHABET[ord(c)]] = True
     less = np.where(byte[:, None] | byte, RHO, np.minimum(RHO, np.minimum.outer(own, own) / 4))
+    small = np.zeros(SYMBOLS, bool)
+    small[[ALPHABET[ord(c)] for c in _SMALL]] = True
+    plain = np.zeros(SYMBOLS, bool)
+    plain[ALPHABET[:128]] = True
+    less[np.logical_and.outer(small, plain) | np.logical_and.outer(plain, small)] = RHO_SPELT
     rare = np.clip(np.log2(FLOOR / np.maximum(own, 1e-9)), 0, RARE) / 2
     own = np.maximum(own, FLOOR)
     bits = np.log2(np.outer(own, own) / (np.maximum(pair / docs - less, 0) + FLOOR / 512)) - TAU
@@ -311,18 +405,9 @@ def improbability(counts: list[tuple[int, int, int]]) -> np.ndarray:
 
 def _back(run: str, codec: str) -> bytes | None:
     """The bytes that a run was decoded from; bytes that the codec does not define stand as C1 controls."""
-    try:
-        return run.encode(codec)
-    except UnicodeEncodeError:
-        out = b""
-        for c in run:
-            try:
-                out += c.encode(codec)
-            except UnicodeEncodeError:
-                if not 0x80 <= ord(c) <= 0x9F:
-                    return None
-                out += bytes([ord(c)])
-        return out
+    table = _BYTES[codec]
+    parts = [table[c] for c in run]
+    return None if None in parts else b"".join(parts)
 
 
 def _told(run: str, wrong: str, true: str) -> str | None:
@@ -335,14 +420,21 @@ def _told(run: str, wrong: str, true: str) -> str | None:
 _told_short = lru_cache(1 << 16)(_told)  # for runs of one or two characters
 
 
+@lru_cache(1 << 16)
+def _unclean(c: str) -> bool:
+    return unicodedata.category(c) in ("Cn", "Cc", "Co", "Cs") and c not in "\n\r\t"
+
+
 def _clean(text: str) -> bool:
-    return all(unicodedata.category(c) not in ("Cn", "Cc", "Co", "Cs") or c in "\n\r\t" for c in text)
+    return not any(map(_unclean, text))
 
 
+@lru_cache(1 << 16)
 def _script(c: str) -> str:
     return unicodedata.name(c, "?").split()[0] if c.isalpha() and c not in "\u00aa\u00b5\u00ba" else ""
 
 
+@lru_cache(1 << 16)
 def _common_cjk(c: str) -> bool:
     """Ideographs of the first level of the national standard, and the punctuation used with them."""
     try:
@@ -367,21 +459,29 @@ class Finder:
     def __init__(self, matrix: np.ndarray):
         self.matrix = matrix
         self.kept: dict[tuple[str, str, str], tuple[str, str] | None] = {}
+        self.rated: dict[str, float] = {}
 
     def bad(self, text: str) -> float:
         """The bits of improbable pairs."""
-        p = _points(text)
-        if len(p) < 2:
-            return 0.0
-        s = ALPHABET[p]
-        scores = self.matrix[s[:-1], s[1:]][(p[:-1] > 127) | (p[1:] > 127)]
-        return float(scores[scores > 0].sum()) / 4
+        rated, total = self.rated, 0.0
+        for i in range(len(text) - 1):
+            pair = text[i : i + 2]
+            if (bits := rated.get(pair)) is None:
+                if len(rated) >= KEEP:
+                    rated.clear()
+                bits = rated[pair] = 0.0 if pair.isascii() else max(0, int(self.matrix[ALPHABET[ord(pair[0])], ALPHABET[ord(pair[1])]])) / 4
+            total += bits
+        return total
 
     def _utf8(self, run: str, left: str, right: str, whole: bool) -> tuple[str, str] | None:
+        able = _able(run) & (_form(run) | _MANY)
+        if not whole:
+            able &= _WEST_BITS
+        if not able:
+            return None
         before = self.bad(left + run + right)
         for codec in (*WESTERN, *OTHERS) if whole else WESTERN:
-            raw = _back(run, codec)
-            if raw is None or not _UTF8.search(raw):
+            if not able & _BIT[codec] or not _UTF8.search(raw := _back(run, codec)):
                 continue
             if whole:
                 try:
@@ -412,15 +512,9 @@ class Finder:
             return None
         before = self.bad(left + run + right)
         best: tuple[float, str, str] | None = None
+        able = _able(run)
         for wrong, true in LEGACY:
-            raw = _back(run, wrong)
-            if raw is None:
-                continue
-            try:
-                told = raw.decode(true)
-            except UnicodeDecodeError:
-                continue
-            if told == run or not _clean(told):
+            if not able & _BIT[wrong] or before < LEGACY_GAIN and true != "gbk" or (told := _told(run, wrong, true)) is None or told == run or not _clean(told):
                 continue
             if len({_script(c) for c in told} - {""}) > 1:
                 continue
@@ -469,26 +563,27 @@ class Finder:
         return self.kept[key]
 
     def segments(self, points: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Maximum-scoring segments of improbable pairs, as [begin, end) of characters."""
+        """Maximum-scoring segments of improbable pairs that reach OPEN, as [begin, end) of characters."""
         s = self.matrix[ALPHABET[points[places]], ALPHABET[points[places + 1]]]
         bad = np.flatnonzero(s > 0)
         begin = end = -1
-        score = 0.0
+        score = most = 0.0
         for at, bits in zip(places[bad].tolist(), (s[bad] / 4).tolist(), strict=True):
             if begin >= 0 and score - (at - end) * GAP > 0:
                 score += bits - max(0, at - end) * GAP
             else:
-                if begin >= 0:
+                if most >= OPEN:
                     yield begin, end
-                begin, score = at, bits
+                begin, score, most = at, bits, 0.0
             end = at + 2
-        if begin >= 0:
+            most = max(most, score)
+        if most >= OPEN:
             yield begin, end
 
     def _fixes(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
         """What the opened runs of a text become, and by which mistake."""
         out = []
-        codecs = self._cyrillic([text[at:to] for at, to in spans])
+        codecs = self._cyrillic([text[at:to] for at, to in spans]) if any(to - at > 3 for at, to in spans) else None
         for at, to in spans:
             run = text[at:to]
             if codecs and (told := _told(run, *codecs)) and told != run and _clean(told) and {_script(c) for c in told} <= {"", "CYRILLIC"} and (not run.isalpha() or _russian(told) > _russian(run)):
@@ -501,7 +596,7 @@ class Finder:
     def _western(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
         """Short runs by the one pair of codecs that makes Western letters of them, weighed over the whole text."""
         runs = [(at, to, text[max(0, at - 1) : at], text[at:to], text[to : to + 1]) for at, to in spans if to - at < 3]
-        if sum(map(self.bad, {"".join(x[2:]) for x in runs if _glued(*x[2:])})) <= LEGACY_GAIN:
+        if not runs or sum(map(self.bad, {"".join(x[2:]) for x in runs if _glued(*x[2:])})) <= LEGACY_GAIN:
             return []
         best: tuple[float, list[tuple[int, int, str, str]]] = (LEGACY_GAIN, [])
         for wrong, true in _WEST:
@@ -527,17 +622,16 @@ class Finder:
         out: list[tuple[str, list[str]] | None] = [None] * len(texts)
         if not len(places):
             return out
-        high = points > 127
-        run_starts, run_ends = _runs(high)
+        run_starts, run_ends = _runs(points > 127)
+        cut = np.array(list(self.segments(points, places)), np.int64).reshape(-1, 2)
+        step = np.zeros(len(run_starts) + 1, np.int64)  # a run is open where more segments have begun than ended
+        np.add.at(step, np.searchsorted(run_ends, cut[:, 0], "right"), 1)
+        np.add.at(step, np.searchsorted(run_starts, cut[:, 1], "left"), -1)
+        runs = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+        docs = np.searchsorted(starts, run_starts[runs], "right") - 1
         opened: dict[int, list[tuple[int, int]]] = {}
-        seen = -1
-        for begin, end in self.segments(points, places):
-            lo, hi = np.searchsorted(run_ends, begin, "right"), np.searchsorted(run_starts, end, "left")
-            for r in range(max(int(lo), seen + 1), int(hi)):
-                seen = r
-                a, b = int(run_starts[r]), int(run_ends[r])
-                doc = int(np.searchsorted(starts, a, "right")) - 1
-                opened.setdefault(doc, []).append((a - int(starts[doc]), b - int(starts[doc])))
+        for doc, a, b in zip(docs.tolist(), (run_starts[runs] - starts[docs]).tolist(), (run_ends[runs] - starts[docs]).tolist(), strict=True):
+            opened.setdefault(doc, []).append((a, b))
         changes = {doc: self._fixes(texts[doc], spans) for doc, spans in opened.items()}
         for doc, text in enumerate(texts):
             own = changes.get(doc, [])
@@ -552,7 +646,7 @@ class Finder:
         return out
 
 
-_finders: dict[int, Finder] = {}
+_finders: dict[str, Finder] = {}
 
 
 def garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -563,7 +657,7 @@ def garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     matrix = improbability([tuple(r) for r in pair_counts(df, text).collect()])  # at most SYMBOLS**2 rows
     shared = df.sparkSession.sparkContext.broadcast(matrix)
-    name = id(shared)
+    name = uuid.uuid4().hex
     kept = df.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
