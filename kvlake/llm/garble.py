@@ -13,6 +13,8 @@ Second pass: per text, improbable pairs are joined to maximum-scoring segments (
 the runs of non-ASCII characters inside segments of `OPEN` bits or more are tested: encoded with what they may have been
 decoded with, and decoded as what the bytes may have been. UTF-8 proves itself by its form; a legacy encoding has to make
 the run clearly more probable. A replacement character, or a C1 control other than NEL, is garbled without a test.
+Characters written as entities (named, decimal, hexadecimal) or as escapes of four hexadecimal digits are read as what they
+stand for; those that turn out right stay as they are written.
 
 A run's inverse mappings are looked up character by character in tables made once for each codec, and a mask of the codecs
 that hold all its characters decides which are tried.
@@ -24,6 +26,7 @@ SYMBOLS**2 bytes, whatever the corpus.
 
 from __future__ import annotations
 
+import html
 import math
 import re
 import unicodedata
@@ -61,9 +64,11 @@ LEGACY = (
     ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("mac_roman", "cp1251"), ("cp437", "cp1251"), ("cp850", "cp1251"),
 )
 
+#: Characters written as entities or escapes.
+_ESCAPED = re.compile(r"&(?:#\d{2,7}|#[xX][0-9A-Fa-f]{2,6}|[A-Za-z][A-Za-z0-9]{1,30});|\\u[0-9A-Fa-f]{4}")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _REST = re.compile("[\u00c2\u00c3\u00e2]|[\u00e2\u00e3][\u00a1-\u00bf]|\u00f0[\u00a1-\u00bf]{0,2}")
-_LOST = re.compile("[\x80-\x84\x86-\x9f�]")
+_LOST = re.compile("[\x80-\x84\x86-\x9f�]|&#(?:65533|[xX][fF]{3}[dD]);")
 #: What may rightly follow a word, so that a letter before it proves nothing, and what stands under or after a root.
 _CLOSING = frozenset("’”“‘…–—»›™®·†‡\u00a0")
 _ROOTS = frozenset("π∞Ω∑∏∫∂µ")
@@ -453,6 +458,22 @@ def _plausible(told: str, left: str, right: str) -> bool:
     return not mixed
 
 
+def _unescaped(text: str) -> tuple[str, list[tuple[int, int, str]]]:
+    """A text with its escaped non-ASCII characters as such, and where these stand: begin, end, as written."""
+    if "&" not in text and "\\u" not in text:
+        return text, []
+    parts, spans, at, n = [], [], 0, 0
+    for m in _ESCAPED.finditer(text):
+        told = chr(int(m[0][2:], 16)) if m[0][0] == "\\" else html.unescape(m[0])
+        if told.isascii() or "\ud800" <= told[0] <= "\udfff" or told[0] == "&":
+            continue
+        parts += [text[at : m.start()], told]
+        n += m.start() - at
+        spans.append((n, n + len(told), m[0]))
+        n, at = n + len(told), m.end()
+    return "".join([*parts, text[at:]]), spans
+
+
 class Finder:
     """Finds and repairs the garbled runs of texts."""
 
@@ -618,6 +639,8 @@ class Finder:
 
     def find(self, texts: list[str]) -> list[tuple[str, list[str]] | None]:
         """Per text None, or the text with what could be repaired, and the mistakes made."""
+        raw = texts
+        texts, written = zip(*map(_unescaped, raw), strict=True) if raw else ((), ())
         points, places, starts = _pairs(texts)
         out: list[tuple[str, list[str]] | None] = [None] * len(texts)
         if not len(places):
@@ -635,10 +658,13 @@ class Finder:
         changes = {doc: self._fixes(texts[doc], spans) for doc, spans in opened.items()}
         for doc, text in enumerate(texts):
             own = changes.get(doc, [])
-            if not own and not _LOST.search(text):
+            if not own and not _LOST.search(raw[doc]):
                 continue
+            edits = [x[:3] for x in own]
+            if written[doc]:
+                edits = sorted(edits + [x for x in written[doc] if not any(begin < x[1] and x[0] < end for begin, end, *_ in own)])
             parts, at = [], 0
-            for begin, end, told, _ in own:
+            for begin, end, told in edits:
                 parts += [text[at:begin], told]
                 at = end
             fixed = "".join([*parts, text[at:]])

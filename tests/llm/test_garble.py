@@ -56,3 +56,16 @@ def test_single_letters_of_legacy_codecs(spark):
     assert {i: r.restored for i, r in got.items()} == {1000 + i: x for i, (x, _, _) in enumerate(made)}
     often = [(i, french.encode("mac_roman").decode("cp1252") if i % 3 == 0 else x) for i, x in clean]
     assert set(found(spark, often)) == set(range(0, 500, 3))
+
+
+def test_escaped_characters(spark):
+    rows = [(i, CLEAN[i % len(CLEAN)] + f" Nr {i}.") for i in range(200)]
+    made = {
+        900: ("we don&acirc;&euro;&trade;t na&Atilde;&macr;ve &eacute;t&eacute;", "we don’t naïve &eacute;t&eacute;"),
+        901: ("a na&#195;&#175;ve page", "a naïve page"),
+        902: ('{"a": "na\\u00c3\\u00afve caf\\u00e9"}', '{"a": "naïve caf\\u00e9"}'),
+        903: ("caf&eacute; and &amp; &copy; 2024 &mdash; fine", None),
+        904: ('re.compile("[\\u0080-\\u009f\\u00c0-\\ufffd]") &nosuch; &#xD800;', None),
+    }
+    got = found(spark, [*rows, *((i, bad) for i, (bad, _) in made.items())])
+    assert {i: r.restored for i, r in got.items()} == {i: right for i, (_, right) in made.items() if right}
