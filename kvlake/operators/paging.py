@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kvlake.functions.layouts import Config, page_bytes, page_regions
 
 BLOCK = 16
-#: Rows that one task numbers; larger tables are numbered in more tasks.
-RANGE = 64
+#: Ranges that a global order is cut into, at least, and the keys that are looked at for each.
+RANGES, SAMPLE = 64, 16
 
 
 def default_slots(cache: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -26,14 +26,42 @@ def with_pages(slots: DataFrame, block: int = BLOCK) -> DataFrame:
     return slots.withColumn("page", F.floor(F.col("slot") / block).cast("int")).withColumn("offset", F.pmod(F.col("slot"), F.lit(block)).cast("int"))
 
 
-def running_total(df: DataFrame, value: str, order: list[str], out: str, parts: int = RANGE) -> DataFrame:
-    """Adds the sum of `value` over all rows before a row in a global order, without one task for all: rows are sorted
-    into ranges, ranges are summed, and each row gets its range's start and its sum inside the range."""
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+def _bounds(df: DataFrame, order: list[str], parts: int) -> list[tuple]:
+    """At most parts - 1 keys that cut the global order into ranges of about as many rows: of an even sample (the keys
+    with the smallest hashes, `SAMPLE` for each range), every SAMPLE-th. The sample's size does not grow with the data."""
+    keys = df.select(*order)
+    sample = keys.orderBy(F.xxhash64(*order), *order).limit(parts * SAMPLE)
+    return [tuple(r) for r in sample.orderBy(*order).collect()[SAMPLE::SAMPLE]]
+
+
+def _range_of(df: DataFrame, order: list[str], bounds: list[tuple]) -> Column:
+    """How many of the bounds are not above a row's key: a binary search, and a function of the key alone."""
+    types = dict(df.dtypes)
+    whole = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, key, strict=True)]) for key in bounds])
+    key = F.struct(*[F.col(c).alias(c) for c in order])
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    below = lambda s: (s["lo"] < s["hi"]) & (F.element_at(whole, F.least(middle(s) + 1, F.lit(len(bounds)))) <= key)
+    step = lambda s, _: F.struct(F.when(below(s), middle(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(below(s), s["hi"]).otherwise(F.least(s["hi"], middle(s))).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, step, lambda s: s["lo"])
+
+
+def running_total(df: DataFrame, value: str, order: list[str], out: str, parts: int | None = None) -> DataFrame:
+    """Adds the sum of `value` over all rows before a row in a global order, without one task for all: the order is cut
+    into ranges at fixed keys, ranges are summed where the rows are, and each row gets its range's start and its sum
+    inside the range. A row's range is a function of its key, so both readings of the rows agree whatever is recomputed.
+
+    Nulls in `value` count as 0, null keys come first. Rows with equal keys come in the order of a hash of all their
+    columns; rows equal in all columns are told apart in no defined way. An empty table gives no rows. `parts` ranges, by
+    default as many as shuffles have, from 64 to 4096.
+    """
+    parts = parts or min(max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 4096)
+    bounds = _bounds(df, order, parts)
+    ranged = df.withColumn("__part", _range_of(df, order, bounds) if bounds else F.lit(0))
     sums = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))  # one row per range
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__part").orderBy(*order, F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(F.broadcast(starts), "__part")
     return joined.withColumn(out, F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__part", "__start")
 
