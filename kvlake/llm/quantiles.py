@@ -6,9 +6,11 @@ stands for FAN of that weight, and no rank moves by more than half the new weigh
 halves (`err`), an exact bound of its rank error. Sketches merge by pooling their buffers level by level and collapsing
 again, in any order; with n values the bound is about n * log_FAN(n / K) / (2 * K), and 0 up to K * FAN values.
 
-Plan: repeated deliveries are dropped by one shuffle on the delivery's id, the surviving arrays are collapsed where they
-are, per task and group, and only sketches (bounded size) move on. A hot group's sketches are merged by a tree: first
-within `BRANCHES` branches, then once more.
+Plan: repeated deliveries are looked for on their ids alone; a bitmap of fixed size says which rows may be repeated, and
+only those are shuffled whole. Arrays are collapsed where they are, per task and group, and only sketches (bounded size)
+move on. Sketches merge by a tree: first over as many branches as shuffles have partitions, then `FAN_IN` branches into
+one until one is left, so that the depth grows with the cluster and no task gets more than its share of a hot group. Every
+merge is a stream that holds one sketch at a time.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K = 4096
 FAN = 8
-BRANCHES = 32
+FAN_IN = 16
+#: Bits of the map of repeated ids; more ids than it can tell apart cost time only.
+MARKS = 1 << 26
 #: Groups that one task holds open at once; beyond it, its sketches go out and start anew.
 OPEN_GROUPS = 512
 
@@ -109,11 +113,27 @@ class Sketch:
 SKETCH = "n long, err double, sizes array<int>, levels array<int>, vals binary"
 
 
+def _may_repeat(df: DataFrame, key: str) -> Column:
+    """Over `df` joined to `_marks`: whether the bit of the row's key is set."""
+    at = F.bitmap_bit_position(F.pmod(F.xxhash64(key), F.lit(MARKS)))
+    byte = F.ascii(F.decode(F.substr("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    return F.coalesce(F.expr("1") == F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2)), F.lit(False)) & F.col(key).isNotNull()
+
+
 def first_delivery(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per non-null `key`, the first by `order`; rows with a null key are all kept."""
-    spread = F.coalesce(F.xxhash64(key), F.xxhash64(*order))
-    w = Window.partitionBy(key, F.when(F.col(key).isNull(), spread)).orderBy(*order)
-    return df.withColumn("__nth", F.row_number().over(w)).filter((F.col("__nth") == 1) | F.col(key).isNull()).drop("__nth")
+    """One row per non-null `key`, the first by `order`; rows with a null key are all kept.
+
+    The ids that stand more than once set bits of a map (at most MARKS / 2**15 rows of 4 kB, broadcast); rows whose bit is
+    not set are passed on as they are, the others go through a window.
+    """
+    hashed = F.pmod(F.xxhash64(key), F.lit(MARKS))
+    again = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    marks = again.select(hashed.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("__bits"))
+    marked = df.withColumn("__bucket", F.bitmap_bucket_number(hashed)).join(F.broadcast(marks), "__bucket", "left").withColumn("__twice", _may_repeat(df, key))
+    once = marked.filter(~F.col("__twice")).select(*df.columns)
+    w = Window.partitionBy(key).orderBy(*order)
+    first = marked.filter("__twice").select(*df.columns).withColumn("__nth", F.row_number().over(w)).filter("__nth = 1").drop("__nth")
+    return once.unionByName(first)
 
 
 def sketch_columns(df: DataFrame, groups: list[str], metrics: list[str], k: int = K, fan: int = FAN) -> DataFrame:
@@ -162,25 +182,49 @@ def sketch_columns(df: DataFrame, groups: list[str], metrics: list[str], k: int
     return kept.mapInArrow(run, schema)
 
 
-def _merge_by(df: DataFrame, groups: list[str], k: int, fan: int) -> DataFrame:
+def _merge_runs(df: DataFrame, keys: list[str], k: int, fan: int) -> DataFrame:
+    """Rows with equal keys that follow each other in a partition merged to one; one sketch is held at a time."""
     types = dict(df.dtypes)
-    schema = ", ".join([*(f"`{g}` {types[g]}" for g in groups), SKETCH])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = Sketch(k, fan)
-        for r in pdf.sort_values(["n", "vals"]).itertuples():
-            total.merge(Sketch.of(r.n, r.err, list(r.sizes), list(r.levels), r.vals, k, fan))
-        return pd.DataFrame([[*key, *total.state().values()]], columns=[*groups, "n", "err", "sizes", "levels", "vals"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: tuple | None = None
+        total, kinds = Sketch(k, fan), []
 
-    return df.groupBy(*groups).applyInPandas(run, schema)
+        def out() -> pa.RecordBatch:
+            state = total.state()
+            columns = [pa.array([v], t) for v, t in zip(open_, kinds, strict=True)]
+            columns += [pa.array([state[c]], t) for c, t in (("n", pa.int64()), ("err", pa.float64()), ("sizes", pa.list_(pa.int32())), ("levels", pa.list_(pa.int32())), ("vals", pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, [*keys, "n", "err", "sizes", "levels", "vals"])
 
+        for batch in batches:
+            own = [batch.column(batch.schema.get_field_index(c)) for c in [*keys, "n", "err", "sizes", "levels"]]
+            kinds, vals = [c.type for c in own[: len(keys)]], batch.column(batch.schema.get_field_index("vals"))
+            for i, row in enumerate(zip(*(c.to_pylist() for c in own), strict=True)):
+                key = row[: len(keys)]
+                if open_ is None or repr(key) != repr(open_):
+                    if open_ is not None:
+                        yield out()
+                    open_, total = key, Sketch(k, fan)
+                total.merge(Sketch.of(*row[len(keys) :], vals[i].as_py(), k, fan))
+        if open_ is not None:
+            yield out()
 
-def merge_sketches(sketches: DataFrame, groups: list[str], k: int = K, fan: int = FAN, branches: int = BRANCHES) -> DataFrame:
-    """One sketch per group (`groups` must include metric), merged as a tree so that no task gets more than a share of a
-    hot group's sketches: branches first, then their results."""
-    branch = F.pmod(F.xxhash64("vals"), F.lit(branches)).cast("int")
-    first = _merge_by(sketches.select(*groups, branch.alias("__branch"), "n", "err", "sizes", "levels", "vals"), [*groups, "__branch"], k, fan)
-    return _merge_by(first.drop("__branch"), groups, k, fan)
+    return df.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), SKETCH]))
+
+
+def merge_sketches(sketches: DataFrame, groups: list[str], k: int = K, fan: int = FAN, fan_in: int = FAN_IN) -> DataFrame:
+    """One sketch per group (`groups` must include metric), merged as a tree over branches of each group. A null in a
+    group column is a group of its own; no sketches give no rows."""
+    width = max(1, int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    state = ["n", "err", "sizes", "levels", "vals"]
+    level = sketches.select(*groups, F.pmod(F.xxhash64("vals", *groups), F.lit(width)).alias("__branch"), *state)
+    while width > 1:
+        keys = [*groups, "__branch"]
+        level = _merge_runs(level.repartition(*keys).sortWithinPartitions(*keys, "n", F.xxhash64("vals")), keys, k, fan)
+        width = -(-width // fan_in)
+        level = level.withColumn("__branch", F.pmod(F.col("__branch"), F.lit(width)))
+    level = level.select(*groups, *state)
+    return _merge_runs(level.repartition(*groups).sortWithinPartitions(*groups, "n", F.xxhash64("vals")), groups, k, fan)
 
 
 def read_quantiles(sketches: DataFrame, groups: list[str], qs: dict[str, float], k: int = K, fan: int = FAN) -> DataFrame:

@@ -30,27 +30,56 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return pairs.broken_pairs(read_table(spark, root, "run_result"), read_table(spark, root, "eval_samples"))
 
 
-def _daily(spark: SparkSession, root: str) -> DataFrame:
-    once = quantiles.first_delivery(read_table(spark, root, "lb_scheme_stats"), "stats_id", ["logged_at", "run_day", "dataset", "scheme"])
-    return quantiles.sketch_columns(once, ["run_day", "dataset", "scheme"], ["ttft_ms", "kv_mb"])
+def _once(spark: SparkSession, root: str) -> DataFrame:
+    return quantiles.first_delivery(read_table(spark, root, "lb_scheme_stats"), "stats_id", ["logged_at", "run_day", "dataset", "scheme"])
+
+
+def _by_both(once: DataFrame, k: int = quantiles.K) -> DataFrame:
+    """Sketches per scheme, and per dataset and scheme (`by`): those per scheme are merged of the others."""
+    fine = ["dataset", "scheme", "metric"]
+    merged = quantiles.merge_sketches(quantiles.sketch_columns(once, fine[:2], ["ttft_ms", "kv_mb"], k), fine, k)
+    both = merged.withColumn("by", F.explode(F.array(F.lit("scheme"), F.lit("dataset, scheme")))).withColumn("dataset", F.when(F.col("by") != "scheme", F.col("dataset")))
+    return quantiles.merge_sketches(both, ["by", *fine], k)
 
 
 def p4_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """Median, 95th and 99th percentile per scheme, and per dataset and scheme (`by`), with the bound of the rank error."""
-    by_day = _daily(spark, root)
-    both = by_day.withColumn("by", F.explode(F.array(F.lit("scheme"), F.lit("dataset, scheme")))).withColumn("dataset", F.when(F.col("by") != "scheme", F.col("dataset")))
-    groups = ["by", "dataset", "scheme", "metric"]
-    return quantiles.read_quantiles(quantiles.merge_sketches(both, groups), groups, QS)
+    return quantiles.read_quantiles(_by_both(_once(spark, root)), ["by", "dataset", "scheme", "metric"], QS)
 
 
 def p4_month_percentiles(spark: SparkSession, root: str) -> DataFrame:
     """The same per month and scheme, combined from the sketches of single days."""
-    per_day = quantiles.merge_sketches(_daily(spark, root), ["run_day", "scheme", "metric"])
+    days = ["run_day", "scheme", "metric"]
+    per_day = quantiles.merge_sketches(quantiles.sketch_columns(_once(spark, root), days[:2], ["ttft_ms", "kv_mb"]), days)
     months = per_day.withColumn("month", F.date_format("run_day", "yyyy-MM"))
     groups = ["month", "scheme", "metric"]
     return quantiles.read_quantiles(quantiles.merge_sketches(months, groups), groups, QS)
 
 
+#: Values in a buffer of the sketches that `p4_rank_errors` looks at: so few that groups collapse in small tables too.
+SMALL_K = 64
+
+
+def p4_rank_errors(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles of sketches with small buffers, ranked among all values: how many of them lie within the stated bound,
+    and whether the bound is above 0 and below a tenth."""
+    once = _once(spark, root)
+    groups = ["dataset", "scheme", "metric"]
+    told = quantiles.read_quantiles(_by_both(once, SMALL_K).filter("by <> 'scheme'"), groups, QS, SMALL_K)
+    wanted = told.select(*groups, "n", "max_rank_error", F.inline(F.array(*[F.struct(F.lit(q).alias("q"), F.col(name).alias("v")) for name, q in QS.items()])))
+    values = once.select("dataset", "scheme", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("xs")) for m in ("ttft_ms", "kv_mb")]))).select(*groups, F.explode("xs").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+    counted = values.groupBy(*groups, "x").agg(F.count(F.lit(1)).alias("c"))
+    same = [F.col(f"w.{g}").eqNullSafe(F.col(f"c.{g}")) for g in groups]
+    ranks = wanted.alias("w").join(counted.alias("c"), same).groupBy(*[F.col(f"w.{g}").alias(g) for g in groups], "n", "max_rank_error", "q").agg(
+        F.coalesce(F.sum(F.when(F.col("x") < F.col("v"), F.col("c.c"))), F.lit(0)).alias("below"), F.coalesce(F.sum(F.when(F.col("x") <= F.col("v"), F.col("c.c"))), F.lit(0)).alias("upto")
+    )
+    rank, most = F.greatest(F.lit(1.0), F.ceil(F.round(F.col("q") * F.col("n"), 6))), F.col("max_rank_error") * F.col("n") + 1e-6
+    held = (F.col("below") + 1 - rank <= most) & (rank - F.col("upto") <= most)
+    return ranks.groupBy(*groups, "n").agg(
+        F.sum(held.cast("long")).alias("within"), F.max(F.col("max_rank_error") > 0).alias("collapsed"), F.max(F.col("max_rank_error") < 0.1).alias("bounded")
+    )
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """The records that are copies of an earlier one."""
     return copies.copies(read_table(spark, root, "corpus"))
@@ -82,7 +111,7 @@ def p8_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_percentiles, p4_month_percentiles, p5_found, p5_collapsed, p6_ids, p7_found, p8_found, p8_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_percentiles, p4_month_percentiles, p4_rank_errors, p5_found, p5_collapsed, p6_ids, p7_found, p8_found, p8_repaired)}
 
 
 _QUANTILES = ", ".join(f"list_sort(list(x))[greatest(1, ceil(round({q} * count(x), 6)))::BIGINT] AS {name}" for name, q in QS.items())
@@ -101,6 +130,8 @@ SELECT 'scheme' AS "by", NULL::VARCHAR AS dataset, scheme, metric, count(x) AS n
 UNION ALL SELECT 'dataset, scheme', dataset, scheme, metric, count(x), {_QUANTILES}, 0.0::DOUBLE FROM good GROUP BY dataset, scheme, metric""",
         "p4_month_percentiles": f"""{_VALUES}
 SELECT strftime(run_day, '%Y-%m') AS month, scheme, metric, count(x) AS n, {_QUANTILES}, 0.0::DOUBLE AS max_rank_error FROM good GROUP BY 1, scheme, metric""",
+        "p4_rank_errors": f"""{_VALUES}
+SELECT dataset, scheme, metric, count(x) AS n, 3::BIGINT AS "within", count(x) >= {SMALL_K * quantiles.FAN} AS collapsed, true AS bounded FROM good GROUP BY dataset, scheme, metric""",
         "p5_found": _P5 + "SELECT min_seq AS first_seq, seq FROM (SELECT seq, min(seq) OVER (PARTITION BY k) AS min_seq FROM keyed) WHERE seq > min_seq",
         "p5_collapsed": _P5 + "SELECT min(seq) AS seq, count(*) AS n_copies FROM keyed GROUP BY k",
         "p1_found": _P1,

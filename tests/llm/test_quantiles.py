@@ -31,3 +31,30 @@ def test_rows(spark):
     got = {(r.g, r.metric): (r.n, r.p50, r.max_rank_error) for r in q.read_quantiles(q.merge_sketches(s, ["g", "metric"]), ["g", "metric"], {"p50": 0.5}).collect()}
     assert got == {("a", "x"): (4, 3.0, 0.0), (None, "x"): (1, 2.0, 0.0), (None, "y"): (2, 5.0, 0.0)}
     assert q.merge_sketches(q.sketch_columns(df.limit(0), ["g"], ["x"]), ["g", "metric"]).count() == 0
+
+
+def test_first_delivery_keeps_one_row_of_each_id(spark):
+    rows = [(i % 700 if i % 3 else 7, i % 11, [float(i)]) for i in range(3000)] + [(None, 1, [0.5]), (None, 1, [0.5])]
+    got = q.first_delivery(spark.createDataFrame(rows, "id int, at int, x array<double>").repartition(5), "id", ["at", "x"]).collect()
+    want = {}
+    for i, at, x in rows[:-2]:
+        want[i] = min(want.get(i, (at, x)), (at, x))
+    assert {r.id: (r.at, r.x) for r in got if r.id is not None} == want and len(got) == len(want) + 2
+
+
+def test_merging_over_many_branches(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=40_000)
+    df = spark.createDataFrame([("a" if i % 3 else None, x[i : i + 100].tolist()) for i in range(0, len(x), 100)], "g string, x array<double>").repartition(40)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")  # two rounds of branches, then one
+        s = q.merge_sketches(q.sketch_columns(df, ["g"], ["x"], 32, 4), ["g", "metric"], 32, 4, fan_in=4)
+        got = {row.g: row for row in q.read_quantiles(s, ["g", "metric"], {"p50": 0.5}, 32, 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for g, own in (("a", [i for i in range(0, len(x), 100) if i % 3]), (None, [i for i in range(0, len(x), 100) if not i % 3])):
+        v = np.sort(np.concatenate([x[i : i + 100] for i in own]))
+        rank = -(-len(v) // 2)
+        assert got[g].n == len(v) and 0 < got[g].max_rank_error < 0.2
+        assert abs(np.searchsorted(v, got[g].p50) + 1 - rank) <= got[g].max_rank_error * len(v)
