@@ -137,18 +137,18 @@ class Prompt:
         words = words_of(answer)
         if not words or not self.words or sum(w in self.vocabulary for w in words) < COPY_SHARE * len(self.words):
             return False
-        moves, link, size = self.automaton.next, self.automaton.link, self.automaton.size
+        step, link, size = self.automaton.step, self.automaton.link, self.automaton.size
         covered = [False] * len(words)
         given: set[int] = set()
         state = length = 0
         for at, w in enumerate(words):
             n = self.number.get(w, -1)
-            while n not in moves[state] and state:
+            while (to := step(state, n)) < 0 and state:
                 state = link[state]
                 length = size[state]
-            if n not in moves[state]:
+            if to < 0:
                 continue
-            state, length = moves[state][n], length + 1
+            state, length = to, length + 1
             if length >= COPY_RUN:
                 covered[at - length + 1 : at + 1] = [True] * length
                 given.update(range(at - length + 1, at + 1))

@@ -100,6 +100,16 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.leaked(read_table(spark, root, "documents"), read_table(spark, root, "eval_samples"))
 
 
+def p7_spans(spark: SparkSession, root: str) -> DataFrame:
+    """Where in the documents the samples stand, and how much of them."""
+    return leaks.leak_spans(read_table(spark, root, "documents"), read_table(spark, root, "eval_samples")).withColumn("coverage", F.round("coverage", 6))
+
+
+def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that leak, without what leaks."""
+    return leaks.without_leaks(read_table(spark, root, "documents"), read_table(spark, root, "eval_samples")).filter("n_removed > 0")
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     """The documents with garbled characters."""
     return p8_repaired(spark, root).select("doc_id")
@@ -111,7 +121,7 @@ def p8_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_percentiles, p4_month_percentiles, p4_rank_errors, p5_found, p5_collapsed, p6_ids, p7_found, p8_found, p8_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_percentiles, p4_month_percentiles, p4_rank_errors, p5_found, p5_collapsed, p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_repaired)}
 
 
 _QUANTILES = ", ".join(f"list_sort(list(x))[greatest(1, ceil(round({q} * count(x), 6)))::BIGINT] AS {name}" for name, q in QS.items())
