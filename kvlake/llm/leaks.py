@@ -189,14 +189,20 @@ class Automaton:
         return known
 
 
-def edit_distance(a: list[int], b: list[int]) -> int:
-    if not a or not b:
-        return max(len(a), len(b))
+def edit_distance(a: list[int], b: list[int], most: int = 1 << 30) -> int:
+    """The edit distance, or some number above `most` if it is above it."""
+    longer = max(len(a), len(b))
+    shared = set(a).intersection(b)
+    least = longer - min(sum(x in shared for x in a), sum(x in shared for x in b)) if shared else longer
+    if not shared or least > most:
+        return least
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         before, row[0] = row[0], i
         for j, y in enumerate(b, 1):
             before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        if most < longer and min(row) > most:
+            return most + 1
     return row[-1]
 
 
@@ -209,6 +215,8 @@ class Items:
 
     def __init__(self, items: list[tuple[str, str | None, str | None]], min_words: int = MIN_WORDS, per_edit: int = PER_EDIT, seed: int = SEED):
         self.min_words, self.per_edit, self.seed = min_words, per_edit, min(seed, min_words)
+        # a longer stretch with few enough edits can be cut into parts of min_words to `most` words, one of which has too
+        self.most = 2 * min_words - 1
         # words that at least stand in runs: between e edits lie e + 1 parts, of which all but one may be shorter than a run
         self.least = max(self.seed, min(n - self.seed * (n // per_edit) for n in range(min_words, min_words + 4 * per_edit)))
         self.number: dict[str, int] = {}
@@ -379,19 +387,23 @@ class Items:
                 open_at[at - end] = run
         if max(r[2] for r in runs) >= self.min_words:
             return True
-        if sum(r[2] for r in runs) < self.least or any(len({x for r in runs for x in range(r[side], r[side] + r[2])}) < self.least for side in (0, 1)):
+        if not self._enough(runs):
             return False
         runs.sort()
         return len(runs) > 1 and self._chained(text, item, runs) or self._aligned(text, item, runs, bounds)
 
+    def _enough(self, runs: list[list[int]]) -> bool:
+        """Whether as many words of the text and of the item stand in runs as any stretch has."""
+        return sum(r[2] for r in runs) >= self.least and all(len({x for r in runs for x in range(r[side], r[side] + r[2])}) >= self.least for side in (0, 1))
+
     def _chained(self, text: list[int], item: list[int], runs: list[list[int]]) -> bool:
         """Whether a chain from one run to another is long and true enough; quick, and right where it says so."""
-        gaps: dict[tuple[int, int, int, int], int] = {}
+        gaps: dict[tuple[int, int, int, int], tuple[int, int]] = {}  # the distance, and up to where it is exact
         last = max(r[1] + r[2] for r in runs)
         for first in range(len(runs)):
             edits: dict[int, int] = {first: 0}
             start = runs[first][1]
-            most = (last - start) // self.per_edit  # edits that the longest chain from here may hold
+            most = min(last - start, self.most) // self.per_edit  # edits that the longest chain from here may hold
             if last - start < self.min_words:
                 continue
             for p in range(first, len(runs)):
@@ -409,9 +421,10 @@ class Items:
                     if cut >= runs[q][2] or b > item_end + MAX_GAP or least > most or least >= edits.get(q, 1 << 30):
                         continue
                     gap = (text_end, a, item_end, b)
-                    if gap not in gaps:
-                        gaps[gap] = edit_distance(text[text_end:a], item[item_end:b])
-                    n = edits[p] + gaps[gap]
+                    known = gaps.get(gap)
+                    if known is None or known[0] > known[1] and known[1] < most - edits[p]:  # not known as far as it matters
+                        gaps[gap] = known = (edit_distance(text[text_end:a], item[item_end:b], most - edits[p]), most - edits[p])
+                    n = edits[p] + known[0]
                     if n <= most and n < edits.get(q, 1 << 30):
                         edits[q] = n
         return False
@@ -423,7 +436,7 @@ class Items:
         left out."""
         reach = 2 * self.min_words
         for near in self._together(runs, reach):
-            if sum(r[2] for r in near) < self.least:
+            if not self._enough(near):
                 continue
             lo_t, lo_i = max(bounds[0], min(r[0] for r in near) - reach), max(0, min(r[1] for r in near) - reach)
             t = np.array(text[lo_t : min(bounds[1], max(r[0] + r[2] for r in near) + reach)], np.int64)
@@ -441,7 +454,7 @@ class Items:
                 continue
             ramp = np.arange(len(t) + 1)
             row = np.zeros((len(i), len(t) + 1), np.int64)  # one line for each first word of a stretch
-            for n in range(1, len(i) + 1):
+            for n in range(1, min(len(i), self.most) + 1):
                 row = row[: len(i) - n + 1]
                 new = np.empty_like(row)
                 new[:, 0] = n
@@ -450,7 +463,7 @@ class Items:
                 best = int(row.min())
                 if n >= self.min_words and best * self.per_edit <= n:
                     return True
-                if best * self.per_edit > len(i):
+                if best * self.per_edit > self.most:
                     break
         return False
 
