@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kvlake.llm import copies, encode, garble, leaks, pairs, quantiles, split
 from kvlake.session import read_table
@@ -25,6 +26,27 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return p1_pieces(spark, root).filter(F.col("piece_no") == 0).select("seq", "cut")
 
 
+def p1_checked(spark: SparkSession, root: str) -> DataFrame:
+    """Per oversized record what its pieces give: the hash of the text they join to, and whether each is within the limit,
+    starts with the closing characters of the one before as far as there is room, and ends at the strongest boundary in
+    reach (no piece and the next one's beginning hold a stronger one within the limit)."""
+    w = Window.partitionBy("seq").orderBy("piece_no")
+    own = F.expr("substring(piece, n_overlap + 1)")
+    p = p1_pieces(spark, root).withColumn("own", own).withColumn("before", F.lag("own").over(w)).withColumn("after", F.lead("own").over(w))
+    room = F.least(F.lit(split.OVERLAP), F.lit(split.LIMIT) - F.length("own"), F.length("before"))
+    overlaps = F.when(F.col("before").isNull(), F.col("n_overlap") == 0).otherwise((F.col("n_overlap") == room) & (F.expr("left(piece, n_overlap)") == F.expr("right(before, n_overlap)")))
+    reach = F.concat("own", F.expr(f"left(after, {split.LIMIT} - length(own))"))
+    paragraph, line = r"\n[ \t]*\r?\n", r"\n"
+    # a blank line at the very end of what is in reach may go on behind it
+    stronger = F.when(F.col("own").rlike(paragraph + r"\z"), F.lit(False)).when(F.col("own").rlike(line + r"\z"), reach.rlike(r"\n[ \t]*\r?\n(?![ \t]*\r?\n)(?=.)")).otherwise(reach.rlike(r"\n(?=.)"))
+    cut_well = F.col("after").isNull() | ~F.coalesce(stronger, F.lit(False))
+    parts = F.sort_array(F.collect_list(F.struct("piece_no", "own")))
+    return p.groupBy("seq").agg(
+        F.md5(F.array_join(parts["own"], "")).alias("joined"), F.min(F.length("piece") <= split.LIMIT).alias("within_limit"),
+        F.min(overlaps).alias("overlaps"), F.min(cut_well).alias("cut_well"),
+    )
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """The runs with a defective answer."""
     return pairs.broken_pairs(read_table(spark, root, "run_result"), read_table(spark, root, "eval_samples"))
@@ -121,7 +143,7 @@ def p8_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p4_percentiles, p4_month_percentiles, p4_rank_errors, p5_found, p5_collapsed, p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checked, p3_found, p4_percentiles, p4_month_percentiles, p4_rank_errors, p5_found, p5_collapsed, p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_repaired)}
 
 
 _QUANTILES = ", ".join(f"list_sort(list(x))[greatest(1, ceil(round({q} * count(x), 6)))::BIGINT] AS {name}" for name, q in QS.items())
@@ -145,6 +167,7 @@ SELECT dataset, scheme, metric, count(x) AS n, 3::BIGINT AS "within", count(x) >
         "p5_found": _P5 + "SELECT min_seq AS first_seq, seq FROM (SELECT seq, min(seq) OVER (PARTITION BY k) AS min_seq FROM keyed) WHERE seq > min_seq",
         "p5_collapsed": _P5 + "SELECT min(seq) AS seq, count(*) AS n_copies FROM keyed GROUP BY k",
         "p1_found": _P1,
+        "p1_checked": "SELECT seq, md5(text) AS joined, true AS within_limit, true AS overlaps, true AS cut_well FROM corpus WHERE length(text) > 2000",
     }
 
 

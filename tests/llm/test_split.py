@@ -39,3 +39,16 @@ def test_cuts_lie_at_boundaries(spark):
     df = spark.createDataFrame([(1, text)], "seq int, text string")
     ps = sorted(split.split_oversized(df, ["seq"], limit=120, overlap=10).collect(), key=lambda p: p.piece_no)
     assert all(p.piece.endswith((". ", "\n\n")) for p in ps[:-1])
+
+
+def test_blank_lines_of_any_length_end_paragraphs(spark):
+    paragraph = "One line.\n" + "word " * 8 + "end"
+    text = f"\n{' ' * 300}\n".join([paragraph] * 30)
+    rows = [(1, text), (2, ("x" * 99 + "\n\n") * 9), (3, ("x" * 100 + "\n\n") * 9), (4, ("a " * 50 + "\n") * 9)]
+    df = spark.createDataFrame(rows, "seq int, text string")
+    got = {}
+    for p in split.split_oversized(df, ["seq"], limit=400, overlap=20).collect() + split.split_oversized(df.filter("seq > 1"), ["seq"], limit=100, overlap=10).collect():
+        got.setdefault((p.seq, p.cut), []).append(p.piece)
+    assert all(p.endswith(" \n") or p.endswith("end") for p in got[1, "paragraph"])
+    # a stretch is measured without its blanks and line ends, whatever a piece had to be cut at
+    assert {k for k in got} == {(1, "paragraph"), (2, "paragraph"), (3, "paragraph"), (4, "line")}
