@@ -3,8 +3,9 @@
 Each answer is read with the prompt it was given to and gets the one defect it has, tested in this order:
 
 - `empty`: no letter or digit.
-- `refusal`: an automaton over phrases in which somebody declines, and over phrases that do so in pairs (a first person
-  and a denial in one sentence), finds one outside quotations.
+- `refusal`: an automaton over phrases finds, outside quotations, one in which somebody declines; or one in which somebody
+  is unable or unwilling, soon followed by a verb of answering; or parts that do so together in one sentence. Being unable
+  to do other things, not knowing a detail or speaking of guidelines is no refusal.
 - `copy`: the answer's words run through the suffix automaton of the prompt; stretches of `COPY_RUN` words or more count
   as copied. The answer copies if nearly all of the prompt is given back and what is not copied only frames it.
 - `language`: the votes of stopwords, or the script, name another language for the answer than for the prompt.
@@ -56,17 +57,49 @@ LETTERS = {"ñ": "es", "ú": "es pt", "í": "es pt", "ó": "es pt", "á": "es pt
 #: Votes that a language needs, and by which it has to lead the prompt's.
 LEAST, LEAD = 1.2, 1.2
 
-#: Phrases that decline by themselves, with words parted by one blank and without punctuation.
+#: Fixed values, words parted by one blank and without punctuation, a full stop for the end of a sentence. Phrases that
+#: decline by themselves.
 DECLINING = """
-i cannot; i can t; i can not; i am unable; i m unable; i am not able; i m not able; not in a position to; i must refrain; i must decline; i have to decline; i have to refrain; i must refuse; i have to refuse; i refuse; i decline; i won t; i will not; i would rather not; i d rather not; i prefer not; i would prefer not; i do not answer; i don t answer; i may not; what i may; what i can; what i am; not possible for me; impossible for me; no comment on; outside of what i; beyond what i; rule out replying; rules out replying; my guidelines; my instructions; ask somebody else; ask someone else; look that up yourself; look it up yourself; let s talk about something; let us talk about something; on which i; i am not allowed; i m not allowed; i do not have access; i don t have access; i do not comment; i don t comment; i have no answer; i do not know; i don t know; i could not find; i was not able
-kann ich nicht; ich kann nicht; mir nicht möglich; ich muss ablehnen; darf ich nicht; bin nicht in der lage; kein kommentar; reden wir; sprechen wir lieber; fragen sie bitte jemand
-je ne peux; je ne puis; je ne suis pas; je ne souhaite; je ne veux; je ne réponds; je ne dois; je dois refuser; je dois décliner; je refuse; je décline; je préfère ne pas; je préfère ne rien; m est impossible; m est pas possible; m est interdit; pas de commentaire; sans commentaire; aucun commentaire; parlons d autre chose; parlons plutôt
-no puedo; no podré; debo rechazar; debo negarme; debo declinar; me niego; prefiero no; no me es posible; me es imposible; me resulta imposible; no estoy en condiciones; no soy capaz; no estoy autorizado; sin comentarios; hablemos de otra cosa; hablemos mejor
-não posso; devo recusar; prefiro não; não me é possível; é me impossível; recuso me; não estou em condições
+i refuse to; i decline to; i must decline; i must refuse; i have to refuse; i give no answers; i give no answer; i do not comment; i don t comment; i have no answer; i do not know .; i don t know .; i do not know the answer; i don t know the answer; let s talk about something other than; let s talk about something else; let us talk about something other than; let us talk about something else; . no comment .
+ich muss ablehnen; ich lehne ab; ich weiß es nicht .; . kein kommentar .; reden wir lieber; sprechen wir lieber
+je dois refuser; je dois décliner; je refuse de; je décline; je ne réponds pas; je ne sais pas .; . pas de commentaire .; . sans commentaire .; . aucun commentaire .; parlons d autre chose; parlons plutôt
+debo rechazar; debo negarme; debo declinar; me niego a; no lo sé .; . sin comentarios .; hablemos de otra cosa; hablemos mejor
+devo recusar; recuso me; não sei .; . sem comentários .
+devo rifiutare; devo rifiutarmi; devo declinare; mi rifiuto; non lo so .; . nessun commento .
+ik moet weigeren; ik weiger; ik weet het niet .; . geen commentaar .
+вынужден отказаться; вынуждена отказаться; отказываюсь отвечать; я не знаю .
 """
-#: Of these, one of the first and one of the second have to stand in one sentence.
-SPEAKERS = "i; i m; i d; i ll; my; me; ich; mir; mich; meine; meinen; je; j; me es; yo; eu; мне; я"
-DENIALS = "refrain; decline; refuse; unable; cannot; can t; won t; not able; rather not; not answer; not discuss; not comment; not reply; not respond; not help; not assist; nothing to say; nichts sagen; ablehnen; verweigern; nicht beantworten; nicht möglich; nicht antworten; nicht helfen; nicht sagen; nicht sprechen; keine antwort; keine auskunft; refuser; refusé; не могу; отказ; вынужден отказаться; impossible"
+#: Phrases in which a speaker is unable or unwilling; a verb of answering has to follow soon.
+UNABLE = """
+i cannot; i can t; i can not; i am unable to; i m unable to; i am not able to; i m not able to; i was not able to; not in a position to; i must refrain; i have to refrain; i have to decline; i won t; i will not; i would rather not; i d rather not; i prefer not to; i would prefer not to; i do not; i don t; i may not; i am not allowed to; i m not allowed to; not possible for me; impossible for me
+kann ich nicht; ich kann nicht; ich kann leider nicht; ich bin nicht in der lage; bin ich nicht in der lage; darf ich nicht; ich darf nicht
+je ne peux; je ne puis; je ne suis pas; je ne souhaite; je ne veux; je ne dois; je préfère ne; m est impossible; m est pas possible; m est interdit
+no puedo; no podré; prefiero no; no me es posible; me es imposible; me resulta imposible; no estoy en condiciones; no soy capaz; no estoy autorizado
+não posso; não consigo; prefiro não; não me é possível; é me impossível; não estou em condições
+non posso; non riesco a; non sono in grado; non mi è possibile; mi è impossibile; preferisco non; non sono autorizzato
+я не могу; не могу
+"""
+#: What states a bar to answering; a word of answering has to stand in the same sentence.
+BARRED = "outside of what i am; outside of what i can; outside of what i may; beyond what i am; beyond what i can; beyond what i may; my guidelines rule out; my guidelines forbid; my guidelines prevent; my guidelines do not; my guidelines don t; my instructions rule out; my instructions forbid; my instructions prevent; my instructions do not; my instructions don t; no comment"
+#: Verbs and nouns of answering, and what stands for them.
+ANSWERING = """
+help; assist; answer; respond; reply; discuss; say; provide; give; comment; talk; speak; share; disclose; offer; tell; comply; fulfil; fulfill; do; answering; responding; replying; discussing; commenting; helping; from my side; from me; ask somebody else; ask someone else
+beantworten; antworten; sagen; helfen; sprechen; geben; mitteilen; antwort; auskunft; anfrage; bitte; frage
+répondre; parler; dire; donner; aider; discuter; fournir; commenter; partager; traiter
+responder; hablar; decir; dar; ayudar; ayudarte; ayudarle; proporcionar; facilitar; comentar; contestar; compartir; discutir
+falar; dizer; ajudar; fornecer; partilhar
+rispondere; parlare; dire; dare; aiutare; aiutarti; aiutarla; fornire; commentare; discutere
+ответить; отвечать; помочь; сказать; говорить; обсуждать; предоставить; дать ответ; прокомментировать
+"""
+#: One of the first and one of the second have to stand in one sentence; or one of the first, one of the
+#: third and a word of answering.
+SPEAKERS = "i; i m; i d; i ll; ich; mir; mich; je; j; yo; eu; io; ik; mij; мне; я"
+DENIALS = "not answer; not discuss; not comment; not reply; not respond; nothing to say; nichts sagen; nicht beantworten; nicht antworten; nicht helfen; nicht sagen; nicht sprechen; keine antwort; keine auskunft; niet beantwoorden; niet antwoorden; niet helpen; niet zeggen; niets zeggen; niet bespreken; geen antwoord; geen commentaar"
+LACKS = "refrain; decline; refuse; ablehnen; verweigern; nicht möglich; refuser; refusé; отказ"
+#: Declining phrases of scripts written without blanks.
+UNPARTED = "お答えできません；お答えすることはできません；回答できません；回答することはできません；答えられません；答えることはできません；お手伝いできません；お手伝いすることはできません；お答えいたしかねます；お答えしかねます；回答を控え；回答は控え；わかりません。；分かりません。；无法回答；不能回答；不便回答；拒绝回答；无法提供；无法帮助；不能提供；我不知道。；无法讨论；不能讨论".split("；")
+#: Characters that may lie between a phrase of UNABLE and the verb.
+SOON = 30
 
 #: Words that only frame a question that is given back.
 FRAME = set("question q the is was you asked me your prompt user frage die lautet sie fragten la pregunta es usted preguntó le votre vous avez demandé pergunta a o here again repeat answer réponse antwort respuesta".split())
@@ -84,11 +117,11 @@ _CLOSERS = "\"'”’»)]}*_` \t\r\n 　"
 
 def _phrases() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
-    for kind, phrases in (("whole", re.split(r"[;\n]", DECLINING)), ("speaker", SPEAKERS.split(";")), ("denial", DENIALS.split(";"))):
-        for phrase in map(str.strip, phrases):
+    for kind, phrases in (("whole", DECLINING), ("unable", UNABLE), ("barred", BARRED), ("answering", ANSWERING), ("speaker", SPEAKERS), ("denial", DENIALS), ("lack", LACKS)):
+        for phrase in map(str.strip, re.split(r"[;\n]", phrases)):
             if phrase:
                 key = f" {phrase} "
-                automaton.add_word(key, automaton.get(key, frozenset()) | {kind})
+                automaton.add_word(key, (len(key), automaton.get(key, (0, frozenset()))[1] | {kind}))
     automaton.make_automaton()
     return automaton
 
@@ -103,16 +136,30 @@ def is_refusal(answer: str) -> bool:
     text = _QUOTED.sub(" ", answer)
     if not re.search(r"\w", text):
         text = answer
-    plain = f" {_SENTENCES.sub(' . ', _PLAIN.sub(' ', text.casefold()))} "
-    hits = list(_automaton.iter(plain))
-    if any("whole" in kinds for _, kinds in hits):
+    if any("\u3040" <= c <= "\u9fff" for c in text) and any(phrase in text for phrase in UNPARTED):
+        return True
+    plain = f" . {_SENTENCES.sub(' . ', _PLAIN.sub(' ', text.casefold()))} . ".replace("  ", " ")
+    hits = [(end - n + 1, end, kinds) for end, (n, kinds) in _automaton.iter(plain)]
+    if any("whole" in kinds for _, _, kinds in hits):
         return True
     if len(hits) < 2:
         return False
-    by_sentence: dict[int, set[str]] = {}
-    for end, kinds in hits:
-        by_sentence.setdefault(plain.count(".", 0, end), set()).update(kinds)
-    return any({"speaker", "denial"} <= kinds for kinds in by_sentence.values())
+    by_sentence: dict[int, list[tuple[int, int, frozenset[str]]]] = {}
+    for begin, end, kinds in hits:
+        by_sentence.setdefault(plain.count(".", 0, end), []).append((begin, end, kinds))
+    return any(map(_declines, by_sentence.values()))
+
+
+def _declines(hits: list[tuple[int, int, frozenset[str]]]) -> bool:
+    """Whether the parts in one sentence decline together."""
+    there = frozenset().union(*(kinds for _, _, kinds in hits))
+    if {"speaker", "denial"} <= there or {"speaker", "lack", "answering"} <= there:
+        return True
+    verbs = [(begin, end) for begin, end, kinds in hits if "answering" in kinds] if there & {"unable", "barred"} else []
+    return any(
+        "unable" in kinds and 0 <= verb[0] - end <= SOON or "barred" in kinds and (verb[0] >= end or verb[1] <= begin)
+        for begin, end, kinds in hits if kinds & {"unable", "barred"} for verb in verbs
+    )
 
 
 class Prompt:

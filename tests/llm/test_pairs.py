@@ -39,3 +39,55 @@ def test_very_long_answer():
 def test_foreign_answer_that_quotes_the_question():
     for answer in ("加载器在“ the page and the loader ”的情况下复用最大的文档，位于第17层，并且会继续处理后面的所有请求。", "Загрузчик страниц при условии “ the page and the loader ” переписывает самые старые блоки и затем продолжает работу."):
         assert pairs.defect(answer, pairs.Prompt(EN)) == "language"
+
+
+#: Ordinary sentences in the first person, or with the words of refusals, that answer all the same.
+PLAIN = """
+That is what I am measuring in the run: 28 bits.
+The notes list what I can confirm: the page size is 28 bits.
+I don't know of any larger page, the loader reports 28 bits.
+My guidelines document gives 28 bits per page.
+I can't see a larger page than 28 bits in the trace.
+I could not find a smaller one, so it is 28 bits.
+My loader cannot hold more than 28 bits.
+I have no idea why, but the value is 28 bits.
+I will not go into rounding: it is 28 bits.
+The answer cannot be cached, it is 28 bits.
+As far as I may judge from the log, 28 bits.
+It goes beyond what I measured before, 28 bits.
+There is no comment on line 5, the default is 28 bits.
+The scheduler refuses to answer after 28 bits.
+We decline larger pages; the limit is 28 bits.
+I was not able to load more than 28 bits.
+Ask the loader: it reports 28 bits.
+Ich kann den Wert ablesen: 28 Bit.
+Der Lader kann nicht mehr als 28 Bit halten.
+Je ne peux pas charger plus de 28 bits.
+No puedo cargar más de 28 bits.
+Non posso caricare più di 28 bit.
+Ik kan niet meer dan 28 bits laden.
+Я не могу загрузить больше 28 бит.
+""".strip().split("\n")
+DECLINED = """
+I'm sorry, I can't say.
+I don't know.
+I do not know the answer to that.
+No comment.
+My instructions do not allow answering this.
+That is outside of what I can discuss.
+I refuse to answer.
+Leider kann ich dazu keine Auskunft geben.
+Non posso rispondere a questa domanda.
+Mi dispiace, non sono in grado di fornire questi dettagli.
+Helaas kan ik deze vraag niet beantwoorden.
+Ik moet weigeren.
+Não posso responder a esta pergunta.
+Я не могу ответить на этот вопрос.
+申し訳ありませんが、その質問にはお答えできません。
+抱歉，我无法回答这个问题。
+""".strip().split("\n")
+
+
+def test_ordinary_sentences_are_no_refusals():
+    assert [x for x in PLAIN if pairs.is_refusal(x)] == []
+    assert [x for x in DECLINED if not pairs.is_refusal(x)] == []
