@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -112,9 +113,20 @@ _SENTENCES = re.compile(r"[.!?。！？\n]+")
 _TERMINAL = ".!?。！？…"
 _ITEM = re.compile(r"\s*(?:[-*•+]|(\d+)[.)])\s+\S")
 _INNER_END = re.compile(r"[.!?][\"”’')\]]*\s+\S|[。！？]")
+_UNBLANKED = re.compile("[\u3040-\u9fff]")
+_HAN = re.compile("[一-鿿]")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
+_LETTERS = re.compile(r"[^\W\d_]+(?:’[^\W\d_]+)?")
+_ANY_WORD = re.compile(r"\w")
+_SIGN = re.compile(r"[^\W_]")
+_DELIMITERS = re.compile(r"^[ \t]*(?:```|~~~)|[()\[\]{}“”«»]", re.M)
 _CLOSERS = "\"'”’»)]}*_` \t\r\n 　"
 
 
+def _unquoted(text: str) -> str:
+    return _QUOTED.sub(" ", text) if any(mark in text for mark in "“„«\"「") else text
+
+
 def _phrases() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for kind, phrases in (("whole", DECLINING), ("unable", UNABLE), ("barred", BARRED), ("answering", ANSWERING), ("speaker", SPEAKERS), ("denial", DENIALS), ("lack", LACKS)):
@@ -133,10 +145,10 @@ def is_refusal(answer: str) -> bool:
     global _automaton
     if _automaton is None:
         _automaton = _phrases()
-    text = _QUOTED.sub(" ", answer)
-    if not re.search(r"\w", text):
+    text = _unquoted(answer)
+    if not _ANY_WORD.search(text):
         text = answer
-    if any("\u3040" <= c <= "\u9fff" for c in text) and any(phrase in text for phrase in UNPARTED):
+    if _UNBLANKED.search(text) and any(phrase in text for phrase in UNPARTED):
         return True
     plain = f" . {_SENTENCES.sub(' . ', _PLAIN.sub(' ', text.casefold()))} . ".replace("  ", " ")
     hits = [(end - n + 1, end, kinds) for end, (n, kinds) in _automaton.iter(plain)]
@@ -205,25 +217,31 @@ class Prompt:
         return whole and len(rest) <= FRAME_WORDS and all(w in FRAME or w in self.vocabulary for w in rest)
 
 
+@lru_cache(1 << 16)
+def _votes_of(word: str) -> tuple[tuple[str, float], ...]:
+    """The languages that a word speaks for, each with its share of the word's vote."""
+    told = _VOTES.get(word.casefold(), [])
+    if not told and word[1:2] == "’" and word[0] in "ldcjmnstLDCJMNST":
+        told = ["fr", "fr", "it"]
+    if not told and word.islower():
+        told = next((ENDINGS[word[-n:]].split() for n in (6, 5, 4, 3, 2) if len(word) > n + 2 and word[-n:] in ENDINGS), None) or next((LETTERS[c].split() for c in word if c in LETTERS), [])
+    return tuple((one, 1 / len(told)) for one in told)
+
+
 def language(text: str, least: float = LEAST) -> tuple[str, dict[str, float]] | None:
     """The language with the most votes, if it has `least`, with all votes; None if nothing votes. A function word, an
     ending or a letter that several languages share is split between them."""
-    han = sum("一" <= c <= "鿿" for c in text)
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in text)
+    ascii = text.isascii()
+    han, cyrillic = (0, 0) if ascii else (len(_HAN.findall(text)), len(_CYRILLIC.findall(text)))
     letters = sum(map(str.isalpha, text)) if han or cyrillic else 0
     if han and 5 * han >= letters:
         return "zh", {"zh": han}
     if cyrillic and 3 * cyrillic >= letters:
         return "ru", {"ru": cyrillic}
     votes: dict[str, float] = {}
-    for word in re.findall(r"[^\W\d_]+(?:’[^\W\d_]+)?", _QUOTED.sub(" ", text)):
-        told = _VOTES.get(word.casefold(), [])
-        if not told and word[1:2] == "’" and word[0] in "ldcjmnstLDCJMNST":
-            told = ["fr", "fr", "it"]
-        if not told and word.islower():
-            told = next((ENDINGS[word[-n:]].split() for n in (6, 5, 4, 3, 2) if len(word) > n + 2 and word[-n:] in ENDINGS), None) or next((LETTERS[c].split() for c in word if c in LETTERS), [])
-        for one in told:
-            votes[one] = votes.get(one, 0) + 1 / len(told)
+    for word in _LETTERS.findall(_unquoted(text)):
+        for one, share in _votes_of(word):
+            votes[one] = votes.get(one, 0) + share
     if not votes:
         return None
     best = max(votes, key=votes.__getitem__)
@@ -241,7 +259,7 @@ def open_delimiters(text: str) -> list[str]:
     """The delimiters left open at the end: code fences first, brackets outside of code."""
     stack: list[str] = []
     pairs = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
-    for m in re.finditer(r"^[ \t]*(?:```|~~~)|[()\[\]{}“”«»]", text, re.M):
+    for m in _DELIMITERS.finditer(text):
         mark = m[0].strip()
         if mark in ("```", "~~~"):
             if "```" in stack:
@@ -296,7 +314,7 @@ def is_truncated(answer: str, full: bool = False) -> bool:
 
 def defect(answer: str | None, prompt: Prompt | None, full: bool = False) -> str | None:
     """The defect of one answer, or None."""
-    if answer is None or not re.search(r"[^\W_]", answer):
+    if answer is None or not _SIGN.search(answer):
         return "empty"
     if is_refusal(answer):
         return "refusal"
@@ -323,12 +341,16 @@ def broken_pairs(runs: DataFrame, prompts: DataFrame, key: str = "run_id", on: s
         known: dict[str, Prompt] = {}
         for batch in batches:
             rows, out = [], []
-            for i, (a, p, full) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                if p is not None and p not in known:
-                    if len(known) >= KEEP:
-                        known.clear()
-                    known[p] = Prompt(p)
-                found = defect(a, known[p] if p is not None else None, bool(full))
+            seen: dict[tuple, str | None] = {}  # the same answer to the same prompt, in this batch
+            for i, pair in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                if pair not in seen:
+                    a, p, full = pair
+                    if p is not None and p not in known:
+                        if len(known) >= KEEP:
+                            known.clear()
+                        known[p] = Prompt(p)
+                    seen[pair] = defect(a, known[p] if p is not None else None, bool(full))
+                found = seen[pair]
                 if found:
                     rows.append(i)
                     out.append(found)
