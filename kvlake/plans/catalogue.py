@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-import os
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +14,7 @@ from kvlake.functions import text as T
 from kvlake.functions import vectors as V
 from kvlake.operators import attention, corpus, metrics, paging, references, schemes
 from kvlake.plans import pipeline
-from kvlake.session import read_table
+from kvlake.session import read_table, shared_folder
 from kvlake.sources import migrate
 from kvlake.sources import store as st
 
@@ -357,15 +356,14 @@ def migrate_plan(spark: SparkSession, root: str) -> DataFrame:
     return migrate.plan(old.unionByName(odd).unionByName(new), ids, known)
 
 
-def _folder(spark: SparkSession, root: str, name: str) -> str:
-    """A folder for a query's own store: beside the checkpoints, which all executors share, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/kvlake-{name}-{hashlib.sha1(f'{root}{os.getpid()}'.encode()).hexdigest()[:12]}"
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's own store, beside the checkpoints, which all executors share."""
+    return f"{shared_folder(spark)}/kvlake-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def store_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     """Stored, verified and read again: errors by scheme and part."""
-    own = st.Store(spark, _folder(spark, root, "store"), DIM)
+    own = st.Store(spark, _folder(spark, "store"), DIM)
     vectors = cache(spark, root)
     for name in schemes.SCHEMES:
         own.pack(vectors, name)
@@ -381,7 +379,7 @@ def store_roundtrip(spark: SparkSession, root: str) -> DataFrame:
 
 def dynamic_cache(spark: SparkSession, root: str) -> DataFrame:
     """Every document's heads as arrays in token order, from a store: their length and checksums over all values."""
-    own = st.Store(spark, _folder(spark, root, "dynamic"), DIM)
+    own = st.Store(spark, _folder(spark, "dynamic"), DIM)
     own.pack(cache(spark, root), "dense16")
     return own.dynamic_caches(4, "dense16").select("doc_id", "layer", "head", F.size("keys").alias("tokens"), F.xxhash64("keys").alias("k_sum"), F.xxhash64("values").alias("v_sum"))
 

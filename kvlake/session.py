@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +25,25 @@ def get_spark(app: str = "kvlake", cores: str = "*", shuffle_partitions: int = 8
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir` of the session. Where that is unset, a session on one
+    machine (tests, the bench) gets a temporary folder; a cluster raises ValueError."""
+    if folder := spark.conf.get("spark.checkpoint.dir", ""):
+        return folder.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():  # set for this session
+        return given.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kvlake-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The rows of `df`, computed once and read from the shared folder from then on, also after executors are lost."""
+    folder = shared_folder(df.sparkSession)
+    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
