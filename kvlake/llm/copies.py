@@ -1,13 +1,15 @@
 """Duplicates hidden by formatting differences.
 
-A record becomes a compact tuple of integers: its text is read as a set of fields where it is one, else as one value; the
-values of a batch are dictionary-encoded, each distinct value is canonicalised once, and its identifier is the 128-bit
-hash of the canonical form, cut into two integers, so that identifiers agree between tasks without exchanging a
-dictionary. The sorted distinct identifiers are the tuple that records are grouped by. Texts never enter a shuffle.
-
-Plan: one pass over the texts in Arrow batches; tuples longer than `INLINE` values are themselves hashed to one
-identifier; groups are aggregated first per (tuple, salt), then per tuple, and the smallest seq comes back over the salt,
-so a group with a third of all records is spread over `SALTS` tasks.
+A record becomes a compact tuple of integers: its text is read as a set of fields where it is one, else as one value. Every
+value has an entry in a dictionary: it is canonicalised and numbered once for each worker (short values, as names and
+values of fields are, stay in the worker's dictionary of at most `ENTRIES` entries; a whole text is looked up in its
+batch). A value's number is the 128-bit hash of its canonical form, as two integers: so the dictionaries of all workers
+agree without being exchanged, and no record has to be joined to one. The sorted distinct numbers of the fields are the
+tuple that records are grouped by, whatever their number. Texts never enter a shuffle.
+
+Plan: one pass over the texts in Arrow batches, whose tuples are written to the shared folder (some 40 bytes a record) for
+the counting and for the way back to the records; groups are aggregated per (tuple, salt), then per tuple, and the smallest seq comes back over the
+salt, so a group with a third of all records is spread over `SALTS` tasks.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvlake.session import written_once
+
 SALTS = 32
-INLINE = 4
+#: Entries of a worker's dictionary, and code points of the longest value that it keeps.
+ENTRIES, SHORT = 200_000, 200
 MIN_FIELDS = 3
 
 _DROP = re.compile(r"[\W_]+")
@@ -75,13 +80,35 @@ def fields_of(text: str) -> list[tuple[str, str]] | None:
     return out if len(out) >= MIN_FIELDS else None
 
 
+def _number(value: str) -> bytes:
+    return xxhash.xxh3_128_digest(canonical(value).encode("utf-8", "surrogatepass"))
+
+
+class Dictionary(dict):
+    """Values to their numbers; a value is canonicalised when it first comes up. Empties itself when it is full."""
+
+    def __missing__(self, value: str) -> bytes:
+        own = _number(value)
+        if len(value) <= SHORT:
+            if len(self) >= ENTRIES:
+                self.clear()
+            self[value] = own
+        return own
+
+
+_dictionary = Dictionary()
+
+
 def _ids(values: pa.Array) -> list[bytes]:
-    """An identifier per value; each distinct value of the column is canonicalised once."""
+    """A number per value; each distinct value of the column is looked up once."""
     column = values.dictionary_encode()
-    own = [xxhash.xxh3_128_digest(canonical(v).encode("utf-8", "surrogatepass")) for v in column.dictionary.to_pylist()]
+    own = [_dictionary[v] for v in column.dictionary.to_pylist()]
     return [own[i] for i in column.indices.to_pylist()]
 
 
+_EMPTY = _number("")
+
+
 def encode_records(df: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
     """key, tuple (array<bigint>), of every record whose text holds a letter or digit; null, empty and blank texts give
     no row, repeated rows one each."""
@@ -103,25 +130,22 @@ def encode_records(df: DataFrame, key: str = "seq", text: str = "text") -> DataF
                         where += [(i, 1), (i, 1)]
                         values += [name, value]
             ids = _ids(pa.array(values, pa.string()))
-            empty = xxhash.xxh3_128_digest(b"")
             tuples: dict[int, set[bytes]] = {}
             j = 0
             while j < len(ids):
                 i, paired = where[j]
                 if paired:
                     name, value = ids[j], ids[j + 1]
-                    if name != empty or value != empty:
+                    if name != _EMPTY or value != _EMPTY:
                         tuples.setdefault(i, set()).add(xxhash.xxh3_128_digest(b"field" + name + value))
                     j += 2
                 else:
-                    if ids[j] != empty:
+                    if ids[j] != _EMPTY:
                         tuples.setdefault(i, set()).add(ids[j])
                     j += 1
             rows, out = [], []
             for i, own in tuples.items():
                 ordered = sorted(own)
-                if len(ordered) > INLINE:
-                    ordered = [xxhash.xxh3_128_digest(b"tuple" + b"".join(ordered))]
                 rows.append(i)
                 out.append([int.from_bytes(b[h : h + 8], "big", signed=True) for b in ordered for h in (0, 8)])
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), pa.array(out, pa.list_(pa.int64()))], ["key", "tuple"])
@@ -136,6 +160,7 @@ def copy_groups(df: DataFrame, key: str = "seq", text: str = "text", salts: int
     and count as copies.
     """
     coded = encode_records(df.filter(F.col(key).isNotNull()), key, text).withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    coded = written_once(coded)
     part = coded.groupBy("tuple", "salt").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"))
     whole = part.groupBy("tuple").agg(F.min("first").alias("first"), F.sum("n").alias("n_copies"), F.collect_list("salt").alias("salts"))
     many = whole.filter("n_copies > 1").select("tuple", "first", "n_copies", F.explode("salts").alias("salt"))
