@@ -1,22 +1,23 @@
 """Softmax-weighted sums of values, on plain vectors and directly on packed ones.
 
 Queries have `q_id`, `doc_id`, `layer`, `head`, `q`; a cache has `doc_id`, `layer`, `head`, `token` and plain or packed
-vectors. Plain attention is relational: logits, their maximum per group, then sums of weights and weighted values, each
-with partial aggregation. On packed vectors the query is turned once into the domain of the codes; every task folds its
-tokens into one state per group (maximum, weight, weighted values), states are merged, and only the merged result is
-turned back, once a query instead of once a token. Neither path brings a group's tokens together in one task.
+vectors. Queries are joined to the tokens of their document, layer and head, over a salt of the token, so that a document
+with a third of all tokens is spread over `SALTS` tasks where the join shuffles. Every task folds its pairs into one state
+per query (largest logit, weight, weighted values); only states are shuffled, to be merged. On packed vectors a query is
+turned once into the domain of the codes, before the join, and the merged result is turned back once.
 
-A query without tokens gives no row; ties, repeated rows and extra columns need no care: repeated tokens count again.
+A query without tokens gives no row; null vectors are left out, vectors of another length, NaN or infinite values raise;
+repeated tokens count again; ties and extra columns need no care.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvlake.functions.layouts import Config
@@ -25,6 +26,10 @@ from kvlake.operators.schemes import lists, matrix, half, parts_of, scheme
 
 ON = ["doc_id", "layer", "head"]
 BY = ["q_id", *ON]
+SALTS = 8
+
+#: Of a batch of pairs, the logits and the values (in the domain that the states are kept in).
+Read = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
 
 
 def select_group_heads(queries: DataFrame, query_heads: int, kv_heads: int) -> DataFrame:
@@ -41,98 +46,136 @@ def plain_logits(queries: DataFrame, cache: DataFrame, dim: int) -> DataFrame:
     return pairs.select(*BY, "token", (dot(F.col("q"), F.col("k")) / dim**0.5).alias("logit"))
 
 
-def plain_attention(queries: DataFrame, cache: DataFrame, dim: int) -> DataFrame:
-    """q_id, doc_id, layer, head, out (array<double>): two stages, maximum then sums. A weight of zero counts as one."""
-    pairs = queries.select("q_id", *ON, halves(F.col("q")).alias("q")).join(cache.select(*ON, halves(F.col("k")).alias("k"), halves(F.col("v")).alias("v")), ON)
-    logits = pairs.select(*BY, (dot(F.col("q"), F.col("k")) / dim**0.5).alias("logit"), "v")
-    most = logits.groupBy(*BY).agg(F.max("logit").alias("most"))
-    weighted = logits.join(most, BY).select(*BY, F.exp(F.col("logit") - F.col("most")).alias("w"), "v")
-    sums = [F.sum(F.col("w") * F.get("v", F.lit(j))) for j in range(dim)]
-    return weighted.groupBy(*BY).agg(F.sum("w").alias("w"), F.array(*sums).alias("acc")).select(*BY, _over("acc", "w").alias("out"))
+def _paired(queries: DataFrame, cache: DataFrame, columns: list[str]) -> DataFrame:
+    """Queries (with q) beside each token of their document, layer and head."""
+    asked = queries.select("q_id", *ON, "q", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    tokens = cache.select(*ON, "token", *columns, F.pmod(F.xxhash64("token"), F.lit(SALTS)).cast("int").alias("__salt"))
+    return asked.join(tokens, [*ON, "__salt"]).drop("__salt")
+
 
+def _heads(b: pa.RecordBatch) -> np.ndarray:
+    return b.column(b.schema.get_field_index("head")).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def _over(acc: str, w: str) -> Column:
-    whole = F.when(F.col(w) > 0, F.col(w)).otherwise(F.lit(1.0))
-    return F.transform(acc, lambda x: x / whole)
 
+def _doubles(b: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
+    """Vectors of a column of this module's own, as rows."""
+    return b.column(b.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-def _paired(queries: DataFrame, packed: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    return queries.select("q_id", *ON, "q").join(packed.select(*ON, "token", *columns), ON)
+
+def _turned(queries: DataFrame, name: str, dim: int) -> DataFrame:
+    """The queries in the domain of a scheme's codes, as array<double>."""
+    s = scheme(name)
+    kept = queries.filter(F.col("q").isNotNull()).select(*BY, "q")
+    types = dict(kept.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = s.turn(matrix(b.column(len(BY)), dim, name), _heads(b))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(BY)], lists(q, pa.float64())], [*BY, "q"])
+
+    return kept.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in BY), "q array<double>"]))
 
 
 def packed_logits(queries: DataFrame, packed: DataFrame, name: str, dim: int) -> DataFrame:
     """q_id, doc_id, layer, head, token, logit, computed on the codes."""
     s = scheme(name)
     Config(dim=dim).check()
-    pairs = _paired(queries, packed, s.columns)
+    pairs = _paired(_turned(queries, name, dim), packed, list(s.columns))
     types = dict(pairs.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in [*BY, "token"]), "logit double"])
+    own = [*BY, "token"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at = {n: i for i, n in enumerate(b.schema.names)}
-                own = [b.column(at[c]) for c in [*BY, "token"]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(_logits(b, name, dim))], [*BY, "token", "logit"])
+                yield pa.RecordBatch.from_arrays([*b.select(own).columns, pa.array(_logits(b, name, dim))], [*own, "logit"])
 
-    return pairs.mapInArrow(run, schema)
+    return pairs.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in own), "logit double"]))
 
 
 def _logits(b: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
     s = scheme(name)
-    at = {n: i for i, n in enumerate(b.schema.names)}
-    heads = b.column(at["head"]).to_numpy(zero_copy_only=False).astype(np.int64)
-    q = s.turn(matrix(b.column(at["q"]), dim, name), heads)
-    dots = (q * s.keys(parts_of(b, s.columns), dim)).sum(axis=1)
+    dots = (_doubles(b, "q", dim) * s.keys(parts_of(b, s.columns), dim)).sum(axis=1)
     return dots / dim**0.5 if s.scaled else dots
 
 
-def packed_attention(queries: DataFrame, packed: DataFrame, name: str, dim: int) -> DataFrame:
-    """q_id, doc_id, layer, head, out (array<float>, in half precision)."""
-    s = scheme(name)
-    Config(dim=dim).check()
-    pairs = _paired(queries, packed, s.columns)
+def _fold(keys: pa.RecordBatch, most: np.ndarray, w: np.ndarray, acc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """States of one row each folded by key, in the order in which keys first come: a row of each key, and its state."""
+    group = keys.to_pandas().groupby(BY, sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    top = np.maximum.reduceat(most[order], first)
+    scale = np.exp(most[order] - np.repeat(top, np.diff(np.append(first, len(order)))))
+    return order[first], top, np.add.reduceat(w[order] * scale, first), np.add.reduceat(acc[order] * scale[:, None], first, axis=0)
+
+
+def _attended(pairs: DataFrame, read: Read, dim: int, back: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str) -> DataFrame:
+    """q_id, doc_id, layer, head, out (array of `kind`): pairs folded where they are, states merged in the order of their
+    keys, and `back` (values, heads) applied to the merged ones. A weight of zero counts as one."""
     types = dict(pairs.dtypes)
     keys = ", ".join(f"{c} {types[c]}" for c in BY)
+    names = [*BY, "most", "w", "acc"]
+
+    def state(b: pa.RecordBatch, folded: tuple) -> pa.RecordBatch:
+        first, most, w, acc = folded
+        return pa.RecordBatch.from_arrays([*b.select(BY).take(pa.array(first)).columns, pa.array(most), pa.array(w), lists(acc, pa.float64())], names)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                logits, values = read(b)
+                yield state(b, _fold(b.select(BY), logits, np.ones(len(logits)), values))
+
+    def told(b: pa.RecordBatch) -> pa.RecordBatch:
+        w = b.column(len(BY) + 1).to_numpy()
+        out = back(_doubles(b, "acc", dim) / np.where(w > 0, w, 1.0)[:, None], _heads(b))
+        return pa.RecordBatch.from_arrays([*b.columns[: len(BY)], lists(out, pa.float32() if kind == "float" else pa.float64())], [*BY, "out"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last key's state, which the next batch may go on with
         for b in batches:
             if not b.num_rows:
                 continue
-            own = b.select(BY).to_pandas()
-            logits = _logits(b, name, dim)
-            values = s.values(parts_of(b, s.columns), dim)
-            group = own.groupby(BY, sort=False, dropna=False).ngroup().to_numpy()
-            n = int(group.max()) + 1
-            most = np.full(n, -np.inf)
-            np.maximum.at(most, group, logits)
-            w = np.exp(logits - most[group])
-            acc = np.zeros((n, dim))
-            np.add.at(acc, group, w[:, None] * values)
-            first = np.unique(group, return_index=True)[1]
-            rows = b.select(BY).take(pa.array(first))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(most), pa.array(np.bincount(group, w, n)), lists(acc, pa.float64())], [*BY, "most", "w", "acc"])
-
-    def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        scale = np.exp(parts["most"].to_numpy() - parts["most"].max())
-        whole = float((parts["w"].to_numpy() * scale).sum())
-        acc = (np.stack(parts["acc"].to_numpy()) * scale[:, None]).sum(axis=0) / (whole if whole > 0 else 1.0)
-        out = half(s.turn_back(acc[None, :], np.array([int(key[BY.index("head")])])))[0]
-        return pd.DataFrame([[*key, out.astype(np.float32)]], columns=[*BY, "out"])
+            whole = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            merged = state(whole, _fold(whole.select(BY), *(whole.column(len(BY) + i).to_numpy() for i in (0, 1)), _doubles(whole, "acc", dim)))
+            if merged.num_rows > 1:
+                yield told(merged.slice(0, merged.num_rows - 1))
+            held = merged.slice(merged.num_rows - 1)
+        if held is not None:
+            yield told(held)
 
     states = pairs.mapInArrow(fold, f"{keys}, most double, w double, acc array<double>")
-    return states.groupBy(*BY).applyInPandas(merge, f"{keys}, out array<float>")
+    return states.repartition(*BY).sortWithinPartitions(*BY).mapInArrow(merge, f"{keys}, out array<{kind}>")
 
 
-def attention_error(queries: DataFrame, cache: DataFrame, packed: dict[str, DataFrame], dim: int) -> DataFrame:
-    """scheme, mse: the mean squared difference of packed from plain attention."""
-    plain = plain_attention(queries, cache, dim).select(*BY, F.col("out").alias("plain"))
-    rows = None
-    for name, table in packed.items():
-        both = packed_attention(queries, table, name, dim).join(plain, BY)
-        squares = F.zip_with("out", "plain", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-        one = both.select(F.lit(name).alias("scheme"), F.explode(squares).alias("e")).groupBy("scheme").agg(F.avg("e").alias("mse"))
-        rows = one if rows is None else rows.unionByName(one)
-    if rows is None:
+def plain_attention(queries: DataFrame, cache: DataFrame, dim: int) -> DataFrame:
+    """q_id, doc_id, layer, head, out (array<double>), on vectors rounded to half precision."""
+    kept = cache.filter(F.col("k").isNotNull() & F.col("v").isNotNull())
+    pairs = _paired(queries.filter(F.col("q").isNotNull()), kept, ["k", "v"])
+
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        q, k, v = (matrix(b.column(b.schema.get_field_index(c)), dim, "plain") for c in ("q", "k", "v"))
+        return (q * k).sum(axis=1) / dim**0.5, v
+
+    return _attended(pairs, read, dim, lambda out, _: out, "double")
+
+
+def packed_attention(queries: DataFrame, packed: DataFrame, name: str, dim: int) -> DataFrame:
+    """q_id, doc_id, layer, head, out (array<float>, in half precision)."""
+    s = scheme(name)
+    Config(dim=dim).check()
+    pairs = _paired(_turned(queries, name, dim), packed, list(s.columns))
+    return _attended(pairs, lambda b: (_logits(b, name, dim), s.values(parts_of(b, s.columns), dim)), dim, lambda out, heads: half(s.turn_back(out, heads)), "float")
+
+
+def attention_error(queries: DataFrame, cache: DataFrame, packed: dict[str, DataFrame], dim: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """scheme, mse (and the columns `by` of doc_id, layer, head): the mean squared difference of packed from plain
+    attention. Plain attention is computed once, and joined to the results of all schemes."""
+    if not packed:
         raise ValueError("no scheme given")
-    return rows
+    plain = plain_attention(queries, cache, dim).select(*BY, F.col("out").alias("plain"))
+    outs = [packed_attention(queries, table, name, dim).withColumn("scheme", F.lit(name)) for name, table in packed.items()]
+    both = reduce(DataFrame.unionByName, outs).join(plain, BY)
+    squares = F.zip_with("out", "plain", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+    each = both.select("scheme", *by, F.aggregate(squares, F.lit(0.0), lambda s, x: s + x).alias("sum"), F.size("out").alias("n"))
+    return each.groupBy("scheme", *by).agg((F.sum("sum") / F.sum("n")).alias("mse"))
