@@ -28,6 +28,7 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--schemes", default="prod4,mse4")
     s.add_argument("--dim", type=int, default=128)
     s.add_argument("--overwrite", action="store_true")
+    s.add_argument("--max-tokens", type=int, help="leave out documents with more tokens, and name them")
     v = sub.add_parser("verify", help="hold a store against its manifest")
     v.add_argument("store")
     v.add_argument("--dim", type=int, default=128)
@@ -35,6 +36,10 @@ def main(argv: list[str] | None = None) -> int:
     m.add_argument("folder")
     m.add_argument("ids")
     m.add_argument("--yes", action="store_true")
+    e = sub.add_parser("evaluate", help="times, sizes, overlap and accuracy by scheme of a table of runs; without tables, of the demonstration")
+    e.add_argument("--runs")
+    e.add_argument("--samples")
+    e.add_argument("--base", default="fp16")
     c = sub.add_parser("compare", help="errors of schemes on a cache table, queried by a query table")
     c.add_argument("cache")
     c.add_argument("queries")
@@ -45,14 +50,17 @@ def main(argv: list[str] | None = None) -> int:
     if a.what == "build":
         pipeline.build(spark, a.input, a.output, parse_schemes(a.formats), chunking=a.chunking, size=a.size, overlap=a.overlap, most=a.max_docs)
     elif a.what == "pack":
-        print(pipeline.precompute(Store(spark, a.store, a.dim), spark.read.parquet(a.cache), parse_schemes(a.schemes), a.overwrite))
+        cache = spark.read.parquet(a.cache)
+        print(pipeline.precompute(Store(spark, a.store, a.dim), cache, parse_schemes(a.schemes), a.overwrite, a.max_tokens))
+        if a.max_tokens:
+            pipeline.too_long(cache, a.max_tokens).show(truncate=False)
     elif a.what == "verify":
         Store(spark, a.store, a.dim).verify().groupBy("status").count().show()
     elif a.what == "migrate":
-        listing = spark.read.format("binaryFile").load(a.folder).selectExpr("element_at(split(path, '/'), -1) AS name")
-        known = spark.createDataFrame([], "doc_id string, layer int, scheme string")
-        planned = migrate.plan(listing, migrate.read_ids(spark, a.ids), known)
-        print(migrate.apply(planned, a.folder, dry_run=not a.yes))
+        print(migrate.migrate(spark, a.folder, migrate.read_ids(spark, a.ids), dry_run=not a.yes))
+    elif a.what == "evaluate":
+        runs, samples = (spark.read.parquet(a.runs), spark.read.parquet(a.samples)) if a.runs and a.samples else pipeline.demo_runs(spark)
+        pipeline.evaluate(runs, samples, a.base).orderBy("scheme").show(truncate=False)
     else:
         pipeline.compare(spark.read.parquet(a.cache), spark.read.parquet(a.queries), parse_schemes(a.schemes), a.dim).show(truncate=False)
     return 0

@@ -1,7 +1,7 @@
 """Bringing a store of files named by an older hash of their ids to the names in use.
 
 Old names begin with 12 digits of MD5 of the id, new ones with 16 of SHA-256; then come layer and scheme. The plan is a
-join of the listing and the ids; only `apply` touches files.
+join of the listing and the ids; only `apply` touches files, and `migrate` writes what it did to the manifest.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from kvlake.functions import text as T
+from kvlake.session import written_once
+from kvlake.sources.store import MANIFEST
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +51,43 @@ def counts(planned: DataFrame) -> DataFrame:
     return planned.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+def num_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """stem, num_tokens of the `.meta` files (JSON) in a folder; null where one cannot be read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.meta").load(folder)
+    content = F.decode(F.col("content"), "UTF-8")
+    valid = F.when(F.expr("is_valid_utf8(content)"), F.get_json_object(content, "$.num_tokens").try_cast("int"))
+    return files.select(F.regexp_extract("path", r"([^/]*)\.meta$", 1).alias("stem"), valid.alias("num_tokens"))
+
+
+def entries(planned: DataFrame, tokens: DataFrame, there: DataFrame | None = None) -> DataFrame:
+    """The manifest rows (doc_id, sha256, layer, scheme, key, num_tokens) of the `.bin` files that a plan renames or
+    adopts; with `there`, a listing (name) made afterwards, of those that stand under their new names. `tokens` has stem
+    and num_tokens; a file without them gets null."""
+    done = planned.filter("action IN ('rename', 'adopt') AND new_name LIKE '%.bin'")
+    if there is not None:
+        done = done.join(there.select(F.col("name").alias("new_name")).distinct(), "new_name", "left_semi")
+    stemmed = done.withColumn("key", F.regexp_replace("new_name", r"\.bin$", "")).withColumn("p", parse_stem(F.col("key")))
+    once = tokens.groupBy(F.col("stem").alias("key")).agg(F.max("num_tokens").alias("num_tokens"))
+    rows = stemmed.join(once, "key", "left").select("doc_id", F.sha2("doc_id", 256).alias("sha256"), "p.layer", "p.scheme", "key", "num_tokens")
+    return rows.distinct()
+
+
+def migrate(spark: SparkSession, folder: str, ids: DataFrame, dry_run: bool = True) -> dict[str, int]:
+    """Plans the new names of a folder's files against the manifest below it, renames them, and adds what was renamed or
+    adopted to the manifest; a dry run only counts. A file that could not be renamed is an error and gets no row."""
+    listing = lambda: spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    try:
+        known = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    except AnalysisException:
+        known = spark.createDataFrame([], MANIFEST)
+    planned = written_once(plan(listing(), ids, known))  # the folder changes under it
+    done = apply(planned, folder, dry_run)
+    if not dry_run:
+        rows = entries(planned, num_tokens(spark, folder), listing()).withColumn("stored_at", F.unix_micros(F.current_timestamp()).cast("double") / 1e6)
+        rows.write.mode("append").parquet(f"{folder}/manifest")
+    return done
+
+
 def apply(planned: DataFrame, folder: str, dry_run: bool = True) -> dict[str, int]:
     """Renames the files of a plan in a folder and counts actions and errors; a dry run only counts. Renaming goes through
     the driver, name by name, since a folder's names are what it changes."""

@@ -1,13 +1,16 @@
 """The store of packed caches: Parquet partitioned by scheme and layer, with an append-only manifest.
 
-`<root>/entries` holds the packed rows (doc_id, head, token, codes and scales) under scheme and layer, so that a scheme
-and layer is a folder and a document is found by Parquet statistics (rows are sorted by doc_id in each file).
-`<root>/manifest` holds one row per packed document, layer and scheme: doc_id, sha256 (of the id), layer, scheme, key,
-num_tokens, stored_at. Nothing is rewritten in place: the latest row of a key stands.
+`<root>/entries` holds the packed rows (doc_id, head, token, codes and scales) under scheme, layer and version, so that a
+scheme and layer is a folder and a document is found by Parquet statistics (rows are sorted by doc_id in each file). Every
+call that packs is a version. `<root>/manifest` holds one row per packed document, layer, scheme and version: doc_id,
+sha256 (of the id), layer, scheme, key, num_tokens, stored_at. Nothing is rewritten in place: the latest row of a document,
+layer and scheme stands, and with it the rows of its version; rows of versions without a manifest row do not count.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -16,8 +19,10 @@ from kvlake.functions import text as T
 from kvlake.functions.layouts import Config, cache_mb
 from kvlake.operators import attention, schemes
 
-ENTRY = "doc_id string, head int, token int, k_codes binary, k_scale double, k_residual double, v_codes binary, v_scale double, scheme string, layer int"
+ENTRY = "doc_id string, head int, token int, k_codes binary, k_scale double, k_residual double, v_codes binary, v_scale double, scheme string, layer int, version string"
 MANIFEST = "doc_id string, sha256 string, layer int, scheme string, key string, num_tokens int, stored_at double"
+#: The manifest of a store; rows that name files of their own have no version.
+STORED = f"{MANIFEST}, version string"
 MANIFEST_JSON = "struct<v:int,entries:map<string,struct<sha256:string,layers:map<string,struct<key:string,num_tokens:int,stored_at:double>>>>>"
 ID = ["doc_id", "layer", "scheme"]
 
@@ -87,14 +92,19 @@ class Store:
 
     def entries(self, scheme: str | None = None, layer: int | None = None) -> DataFrame:
         """Packed rows; a scheme or layer is read from its folder alone."""
-        rows = self._read("entries", ENTRY)
+        rows, known = self._read("entries", ENTRY), self._read("manifest", STORED)
         if scheme is not None:
             schemes.scheme(scheme)
-            rows = rows.filter(F.col("scheme") == scheme)
-        return rows if layer is None else rows.filter(F.col("layer") == layer)
+            rows, known = (x.filter(F.col("scheme") == scheme) for x in (rows, known))
+        if layer is not None:
+            rows, known = (x.filter(F.col("layer") == layer) for x in (rows, known))
+        versions = known.select("version").distinct()  # one row for each call that packed
+        standing = latest(known).select(*ID, "version")
+        replaced = known.select(*ID, "version").filter("version IS NOT NULL").join(standing.select(*ID, F.col("version").alias("__stands")), ID).filter(~F.col("version").eqNullSafe(F.col("__stands"))).select(*ID, "version")
+        return rows.join(versions, "version", "left_semi").join(replaced, [*ID, "version"], "left_anti").drop("version")
 
     def manifest(self) -> DataFrame:
-        return latest(self._read("manifest", MANIFEST))
+        return latest(self._read("manifest", STORED)).drop("version")
 
     def missing(self, wanted: DataFrame) -> DataFrame:
         """Of rows with doc_id, layer and scheme those that are not stored, by the manifest alone."""
@@ -105,31 +115,23 @@ class Store:
 
     def pack(self, cache: DataFrame, scheme: str, overwrite: bool = False) -> int:
         """Packs and stores a cache (doc_id, layer, head, token, k, v) and returns the number of documents and layers
-        stored. What is stored already is left alone, or with `overwrite` replaced."""
+        stored. What is stored already is left alone; with `overwrite` its new version stands from then on. The rows are
+        written first and the manifest after them: of an interrupted call nothing counts as stored, and it can be repeated."""
         schemes.scheme(scheme)
+        version = uuid.uuid4().hex
         own = cache.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("layer").cast("int").alias("layer"), F.col("head").cast("int").alias("head"), F.col("token").cast("int").alias("token"), "k", "v")
-        ids = own.select("doc_id", "layer").distinct().withColumn("scheme", F.lit(scheme))
         if not overwrite:
+            ids = own.select("doc_id", "layer").distinct().withColumn("scheme", F.lit(scheme))
             own = own.join(self.missing(ids).drop("scheme"), ["doc_id", "layer"], "left_semi")
-        packed = schemes.pack(own, scheme, self.dim).withColumn("scheme", F.lit(scheme))
-        mode = "append"
-        if overwrite:
-            old = self.entries(scheme).join(ids, ID, "left_anti").join(ids.select("layer").distinct(), "layer", "left_semi")
-            beside = f"{self.root}/replaced"  # a folder that is overwritten cannot be read from in the same job
-            packed.unionByName(old).write.mode("overwrite").parquet(beside)
-            packed, mode = self.spark.read.parquet(beside), "overwrite"
-        stored = own.groupBy("doc_id", "layer").agg((F.max("token") + 1).alias("num_tokens"))
-        rows = stored.select(
-            "doc_id", F.sha2("doc_id", 256).alias("sha256"), "layer", F.lit(scheme).alias("scheme"),
-            T.store_key(F.col("doc_id"), F.col("layer"), F.lit(scheme)).alias("key"), "num_tokens", F.unix_micros(F.current_timestamp()).cast("double").alias("stored_at"),
+        packed = schemes.pack(own, scheme, self.dim).withColumn("scheme", F.lit(scheme)).withColumn("version", F.lit(version))
+        packed.sortWithinPartitions("doc_id", "head", "token").write.mode("append").partitionBy("scheme", "layer", "version").parquet(f"{self.root}/entries")
+        written = self._read("entries", ENTRY).filter((F.col("scheme") == scheme) & (F.col("version") == version))
+        rows = written.groupBy("doc_id", "layer").agg((F.max("token") + 1).alias("num_tokens")).select(
+            "doc_id", F.sha2("doc_id", 256).alias("sha256"), "layer", F.lit(scheme).alias("scheme"), T.store_key(F.col("doc_id"), F.col("layer"), F.lit(scheme)).alias("key"),
+            "num_tokens", (F.unix_micros(F.current_timestamp()).cast("double") / 1e6).alias("stored_at"), F.lit(version).alias("version"),
         )
-        rows = rows.withColumn("stored_at", F.col("stored_at") / 1e6)
-        staged = f"{self.root}/staged"
-        rows.write.mode("overwrite").parquet(staged)  # before the entries are there, since what is missing depends on them
-        packed.sortWithinPartitions("doc_id", "head", "token").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("scheme", "layer").parquet(f"{self.root}/entries")
-        done = self.spark.read.parquet(staged)
-        done.write.mode("append").parquet(f"{self.root}/manifest")
-        return done.count()
+        rows.write.mode("append").parquet(f"{self.root}/manifest")
+        return self._read("manifest", STORED).filter(F.col("version") == version).count()
 
     def verify(self, strict: bool = False) -> DataFrame:
         """The manifest's rows with their status; `strict` raises StoreError if one is not ok."""

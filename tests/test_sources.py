@@ -131,3 +131,52 @@ def test_whole_store_is_read_again(spark):
     assert len(sums) == 20 and got == {tuple(r[:3]): tuple(r[3:]) for r in sums}
     errors = {tuple(r) for r in catalogue.store_roundtrip(spark, root).collect()}
     assert errors == {tuple(r) for r in catalogue.roundtrip_error(spark, root).collect()} and {r[0] for r in errors} == {*schemes.SCHEMES}
+
+
+def test_interrupted_and_replaced_versions_do_not_count(spark, tmp_path):
+    own = st.Store(spark, str(tmp_path / "s"), 64)
+    assert own.pack(cache(spark, ("a", "b"), 1), "mse4") == 2
+    stray = spark.read.parquet(str(tmp_path / "s/entries")).filter("doc_id = 'a'").withColumn("doc_id", F.lit("c")).withColumn("version", F.lit("lost"))
+    stray.write.mode("append").partitionBy("scheme", "layer", "version").parquet(str(tmp_path / "s/entries"))  # rows without a manifest row
+    assert not own.exists("c", 0, "mse4") and own.entries().count() == 20
+    assert own.pack(cache(spark, ("c",), 1), "mse4") == 1 and own.exists("c", 0, "mse4") and own.load("c", 0, "mse4").count() == 10
+    for tokens in (7, 3):
+        own.pack(cache(spark, ("a",), 1, tokens), "mse4", overwrite=True)
+        assert own.load("a", 0, "mse4").count() == 2 * tokens and own.load("b", 0, "mse4").count() == 10
+    assert own.pack(cache(spark, ("a",), 1), "sign1") == 1 and own.entries("sign1", 0).count() == 10 and own.entries("sign1", 1).count() == 0
+    queries = cache(spark, ("a", "b"), 1).filter("token = 1").select(F.lit("q").alias("q_id"), "doc_id", "layer", "head", F.col("v").alias("q"))
+    assert own.attend(queries, "mse4").count() == 4
+    with pytest.raises(ValueError):
+        own.attend(queries, "unheard")
+
+
+def test_migration_writes_the_manifest(spark, tmp_path):
+    old = lambda d: hashlib.md5(d.encode()).hexdigest()[:12]
+    new = lambda d: hashlib.sha256(d.encode()).hexdigest()[:16]
+    for n, raw in ((f"{old('a')}_L00_x_y.bin", b"0"), (f"{old('a')}_L00_x_y.meta", b'{"num_tokens": 40}'), (f"{new('b')}_L01_x.bin", b"0"), (f"{new('b')}_L01_x.meta", b"\xff"), (f"{old('b')}_L01_x.bin", b"0")):
+        (tmp_path / n).write_bytes(raw)
+    ids = spark.createDataFrame([("a",), ("b",), ("a",)], "doc_id string")
+    assert migrate.migrate(spark, str(tmp_path), ids) == {"rename": 2, "skip": 1, "adopt": 1, "error": 0} and not (tmp_path / "manifest").exists()
+    assert migrate.migrate(spark, str(tmp_path), ids, dry_run=False) == {"rename": 2, "skip": 1, "adopt": 1, "error": 0}
+    own = st.Store(spark, str(tmp_path), 64)
+    rows = {(r.doc_id, r.layer, r.scheme, r.key, r.num_tokens) for r in own.manifest().collect()}
+    assert rows == {("a", 0, "x_y", f"{new('a')}_L00_x_y", 40), ("b", 1, "x", f"{new('b')}_L01_x", None)}
+    assert own.verify(strict=True).count() == 2
+    assert migrate.migrate(spark, str(tmp_path), ids, dry_run=False) == {"rename": 0, "skip": 1, "adopt": 0, "error": 0} and own.manifest().count() == 2
+
+
+def test_evaluation_sets_counts_and_failed_documents(spark, tmp_path):
+    lines = [{"context": "one two three four", "input": "What?\nSo", "answers": ["a"]}, {"context": "", "input": "five six"}, {"context": "seven", "input": None, "answers": None}, {"context": "left out", "input": ""}]
+    (tmp_path / "set.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    got = [tuple(r) for r in pipeline.read_eval_set(spark, str(tmp_path / "set.jsonl"), "other", 3, 3).orderBy("doc_id").collect()]
+    assert [(g[0], g[1], g[3], g[4]) for g in got] == [("other_0000", "one two three", ["a"], 3), ("other_0001", "five six", [], 2), ("other_0002", "seven", [], 1)]
+    padded = pipeline.read_eval_set(spark, str(tmp_path / "set.jsonl"), "other", 3, 3, pad_to=5).orderBy("doc_id").collect()
+    assert [(r.context_text, r.context_tokens) for r in padded] == [("one two three five six", 5), ("five six seven one two", 5), ("seven one two three five", 5)]
+    manifest = spark.createDataFrame([("a", 0, "fp16", 7, 1.0), ("a", 0, "fp16", 9, 2.0), ("b", 0, "fp16", None, 1.0), ("c", 1, "fp16", 3, 1.0)], "doc_id string, layer int, scheme string, num_tokens int, stored_at double")
+    docs = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "doc_id string")
+    assert {tuple(r) for r in pipeline.token_counts(docs, manifest).collect()} == {("a", 9), ("b", 512), ("c", 512)}
+    both = cache(spark, ("a",), 1, 9).unionByName(cache(spark, ("b",), 1, 4))
+    assert [tuple(r) for r in pipeline.too_long(both, 5).collect()] == [("a", 9)]
+    assert pipeline.precompute(st.Store(spark, str(tmp_path / "s"), 64), both, ["mse4", "sign1"], max_tokens=5) == {"mse4": 1, "sign1": 1}
+    report = {r.scheme: r for r in pipeline.evaluate(*pipeline.demo_runs(spark), "fp16").collect()}
+    assert set(report) == {"fp16", "turbo_prod", "turbo_mse"} and report["fp16"].accuracy == 1.0 and round(report["turbo_prod"].size_ratio, 2) == 3.82
