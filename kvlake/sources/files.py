@@ -1,7 +1,9 @@
 """Reading raw records from text, Markdown, JSON lines, CSV and PDF files, and corpora from and to JSON lines.
 
-Every reader gives `path`, `record` (its number in the file), `base_id` and `text`; `scan` puts them together and adds
-`seq`, the place in the order of path and record. Formats go by the suffix, whatever its case. Blank texts are left out.
+Every reader gives `path`, `place` (which sorts as the records of a file do), `base_id` and `text`; `scan` puts them
+together and adds `seq`, the place in the order of path and record. Formats go by the suffix, whatever its case. Blank
+texts are left out. JSON lines are read by splits, so a file may be of any size; text, CSV (whose quoted fields may hold
+line ends) and PDF files are read whole, up to 2 GB each.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
+from pyspark.sql.window import Window
 
 from kvlake.functions import text as T
 
@@ -22,7 +26,7 @@ try:
 except ImportError:  # PDF files are then left out
     pypdf = None
 
-RECORD = "path string, record long, base_id string, text string"
+RECORD = "path string, place string, base_id string, text string"
 
 
 def _glob(suffix: str) -> str:
@@ -44,10 +48,10 @@ def _parsed(files: DataFrame, parse: Callable[[str, str], list[tuple[int, str, s
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 stem = unquote(path.rsplit("/", 1)[-1]).rpartition(".")[0]
                 try:
-                    rows += [(path, n, i, t) for n, i, t in parse(stem, content)]
+                    rows += [(path, f"{n:012d}", i, t) for n, i, t in parse(stem, content)]
                 except (ValueError, AttributeError, TypeError, KeyError):
                     continue
-            yield pd.DataFrame(rows, columns=["path", "record", "base_id", "text"])
+            yield pd.DataFrame(rows, columns=["path", "place", "base_id", "text"])
 
     return files.mapInPandas(run, RECORD)
 
@@ -61,26 +65,45 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     return read_text(spark, root, "md")
 
 
-def _json_records(stem: str, content: bytes) -> list[tuple[int, str, str]]:
-    out = []
-    for i, line in enumerate(bytes(content).decode("utf-8").split("\n")):
-        if not line.strip():
-            continue
-        try:
-            row = json.loads(line)
-        except ValueError:
-            continue
-        text = row.get("text") or row.get("content") or ""
-        if text:
-            out.append((i, str(row.get("id") or row.get("doc_id") or f"{stem}_{i}"), text if isinstance(text, str) else json.dumps(text, ensure_ascii=False)))
-    return out
+def _json_record(line: bytes) -> tuple[str | None, str] | None:
+    """Id and text of a line; None where it has no text, or is blank or no JSON."""
+    try:
+        row = json.loads(line)
+    except ValueError:
+        return None
+    text = row.get("text") or row.get("content") or ""
+    own = row.get("id") or row.get("doc_id")
+    return (str(own) if own else None, text if isinstance(text, str) else json.dumps(text, ensure_ascii=False)) if text else None
 
 
-def read_jsonl(spark: SparkSession, root: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, root: str, suffix: str = "jsonl") -> DataFrame:
     """A record per line: `id` or `doc_id` or the stem and the line's number (all lines count), `text` or `content`. Lines
     that are blank or no JSON are left out; a line that is JSON but no object, or bytes that are not UTF-8, leave out the
-    file. Texts that are no strings are kept as JSON."""
-    return _parsed(_files(spark, root, "jsonl"), _json_records)
+    file. Texts that are no strings are kept as JSON.
+
+    Two passes over the splits: the first counts the lines of each and looks for files to leave out, and gives one row a
+    split (some hundred bytes for every `spark.sql.files.maxPartitionBytes`), which is broadcast; the second parses lines
+    in Arrow batches.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(suffix)).option("lineSep", "\n").text(root)
+    raw = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    odd = ~F.expr("is_valid_utf8(value)") | (~F.col("value").rlike(r"^\s*(\{|$)") & F.expr("try_parse_json(value)").isNotNull())
+    splits = raw.groupBy("path", "block").agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("n"), F.max(odd).alias("odd"))
+    before, whole = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("path")
+    starts = splits.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("lo")).alias("shift"), F.max("odd").over(whole).alias("odd")).filter("NOT odd").drop("odd")
+    numbered = raw.join(F.broadcast(starts), ["path", "block"]).select("path", (F.col("at") + F.col("shift")).alias("n"), F.col("value").cast("binary").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, n, line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if found := _json_record(line):
+                    stem = unquote(path.rsplit("/", 1)[-1]).rpartition(".")[0]
+                    rows.append((path, f"{n:012d}", found[0] or f"{stem}_{n}", found[1]))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "place", "base_id", "text"])
+
+    return numbered.mapInArrow(run, RECORD)
 
 
 def read_csv(spark: SparkSession, root: str) -> DataFrame:
@@ -104,7 +127,7 @@ def read_pdf(spark: SparkSession, root: str) -> DataFrame:
     """A record per file, pages parted by blank lines; no records where the reader for PDF is not installed."""
     files = _files(spark, root, "pdf")
     if pypdf is None:
-        return files.limit(0).select("path", F.lit(0).cast("long").alias("record"), F.lit("").alias("base_id"), F.lit("").alias("text"))
+        return files.limit(0).select("path", F.lit("").alias("place"), F.lit("").alias("base_id"), F.lit("").alias("text"))
 
     def parse(stem: str, content: bytes) -> list[tuple[int, str, str]]:
         import io
@@ -119,7 +142,7 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"txt": read_text
 
 
 def scan(spark: SparkSession, root: str, formats: list[str]) -> DataFrame:
-    """path, record, base_id, text, seq of all records below root; unknown formats are ignored. `seq` is a string that
+    """path, place, base_id, text, seq of all records below root; unknown formats are ignored. `seq` is a string that
     sorts as path and record do."""
     found = None
     for name in dict.fromkeys(f.lstrip(".").lower() for f in formats):
@@ -129,7 +152,7 @@ def scan(spark: SparkSession, root: str, formats: list[str]) -> DataFrame:
     if found is None:
         found = spark.createDataFrame([], RECORD)
     filled = found.filter(F.length(T.strip(F.col("text"))) > 0)
-    return filled.withColumn("seq", F.concat("path", F.lit("\u0000"), F.format_string("%012d", "record")))
+    return filled.withColumn("seq", F.concat("path", F.lit("\u0000"), "place"))
 
 
 CORPUS = Ty.StructType([Ty.StructField("id", Ty.StringType()), Ty.StructField("text", Ty.StringType())])

@@ -180,3 +180,20 @@ def test_evaluation_sets_counts_and_failed_documents(spark, tmp_path):
     assert pipeline.precompute(st.Store(spark, str(tmp_path / "s"), 64), both, ["mse4", "sign1"], max_tokens=5) == {"mse4": 1, "sign1": 1}
     report = {r.scheme: r for r in pipeline.evaluate(*pipeline.demo_runs(spark), "fp16").collect()}
     assert set(report) == {"fp16", "turbo_prod", "turbo_mse"} and report["fp16"].accuracy == 1.0 and round(report["turbo_prod"].size_ratio, 2) == 3.82
+
+
+def test_json_lines_by_splits(spark, tmp_path):
+    lines = [json.dumps({"text": f"line {i} é" * (i % 5)} if i % 3 else {"id": f"x{i}", "content": "own"}, ensure_ascii=False) if i % 7 else "" for i in range(4000)]
+    (tmp_path / "big file.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "bad.jsonl").write_bytes(b'{"text": "lost"}\n"a string"\n')
+    (tmp_path / "bytes.JSONL").write_bytes(b'{"text": "lost"}\n{"text": "\xff"}\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        found = files.scan(spark, str(tmp_path), ["jsonl"])
+        assert found.rdd.getNumPartitions() > 4
+        got = [(r.base_id, r.text) for r in found.orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    rows = [(i, json.loads(x)) for i, x in enumerate(lines) if x]
+    assert got == [(r.get("id", f"big file_{i}"), r.get("text") or r.get("content")) for i, r in rows if r.get("text") or r.get("content")]
