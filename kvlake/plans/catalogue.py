@@ -15,8 +15,9 @@ from kvlake.functions import vectors as V
 from kvlake.operators import attention, corpus, metrics, paging, references, schemes
 from kvlake.plans import pipeline
 from kvlake.session import read_table, shared_folder
-from kvlake.sources import migrate
+from kvlake.sources import files, migrate
 from kvlake.sources import store as st
+from kvlake.streaming import slots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,6 +137,13 @@ def attn_mse_by_scheme(spark: SparkSession, root: str) -> DataFrame:
     return attention.attention_error(cache_queries(spark, root), cache(spark, root), packed, DIM).select("scheme", F.round("mse", 8).alias("mse"))
 
 
+def attn_mse_by_layer(spark: SparkSession, root: str) -> DataFrame:
+    """The same by layer, with the documents spread over three."""
+    spread = lambda df: df.withColumn("layer", (F.col("doc_id").cast("int") % 3))
+    packed = {n: spread(schemes.pack(cache(spark, root), n, DIM)) for n in schemes.SCHEMES}
+    return attention.attention_error(spread(cache_queries(spark, root)), spread(cache(spark, root)), packed, DIM, ("layer",)).select("scheme", "layer", F.round("mse", 8).alias("mse"))
+
+
 def gqa_head_select(spark: SparkSession, root: str) -> DataFrame:
     """Of 8 query heads the ones that stand for 2 heads of a cache."""
     heads = read_table(spark, root, "embeddings").select((F.col("vec_id") % 8).cast("int").alias("head"), "vec_id")
@@ -251,6 +259,21 @@ def pad_contexts(spark: SparkSession, root: str) -> DataFrame:
     return corpus.padded_contexts(read_table(spark, root, "eval_samples"), 512)
 
 
+def eval_loader(spark: SparkSession, root: str) -> DataFrame:
+    """Samples as a loader makes them: the first 100, the input where there is no context, 60 words of the context."""
+    blank = F.when(F.col("context_tokens") % 5 == 0, F.lit("")).otherwise(F.col("context_text"))
+    items = read_table(spark, root, "eval_samples").select(F.col("doc_id").alias("seq"), blank.alias("context"), F.col("query_prompt").alias("input"), "answers")
+    return pipeline.eval_set(items, "other", 100, 60).drop("answers")
+
+
+def corpus_files(spark: SparkSession, root: str) -> DataFrame:
+    """The records in force, written as JSON lines and read again: ids and the hashes of their texts."""
+    rows = read_table(spark, root, "corpus").filter("removed_at IS NULL AND text IS NOT NULL").select(F.concat(F.lit("r"), "seq").alias("id"), "text")
+    folder = _folder(spark, "corpus")
+    files.write_corpus(rows, folder)
+    return files.read_jsonl(spark, folder, "json").select(F.col("base_id").alias("id"), F.md5("text").alias("hash"))
+
+
 def truncate_tokens(spark: SparkSession, root: str) -> DataFrame:
     """Contexts cut to 50 words, and the prompt for them."""
     s = read_table(spark, root, "eval_samples")
@@ -278,6 +301,12 @@ def scheme_report(spark: SparkSession, root: str) -> DataFrame:
     return report.select("scheme", "n", *[F.round(c, 6).alias(c) for c in ("ttft_ms", "kv_mb", "speedup", "size_ratio", "f1", "accuracy")])
 
 
+def windowed_latency(spark: SparkSession, root: str) -> DataFrame:
+    """The events' values by hour and type, as the stream reports them."""
+    found = slots.windowed_latency(read_table(spark, root, "events"), "1 hour", "1 hour")
+    return found.withColumn("avg", F.round("avg", 6))
+
+
 def oom_by_scheme(spark: SparkSession, root: str) -> DataFrame:
     """Samples that ran out of memory, by scheme and dataset, each delivery once."""
     once = read_table(spark, root, "lb_scheme_stats").groupBy("stats_id").agg(F.min(F.struct("dataset", "scheme", "oom")).alias("s"))
@@ -346,6 +375,24 @@ def precompute_missing(spark: SparkSession, root: str) -> DataFrame:
     return st.missing_layers(docs, registry, read_table(spark, root, "manifest"))
 
 
+def doc_token_count(spark: SparkSession, root: str) -> DataFrame:
+    """Tokens of every document in force, by the manifests; 512 where they do not say."""
+    docs = read_table(spark, root, "corpus").filter("removed_at IS NULL AND id IS NOT NULL").select(F.col("id").alias("doc_id"))
+    return pipeline.token_counts(docs, _manifest(spark, root))
+
+
+def migrate_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Files by what would be done to them."""
+    return migrate.counts(migrate_plan(spark, root))
+
+
+def migrate_apply(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest rows of files renamed and adopted, with the tokens that files beside them state."""
+    ids = read_table(spark, root, "corpus").filter("id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
+    tokens = ids.filter(F.length("doc_id") % 5 == 0).select(T.store_key(F.col("doc_id"), F.lit(3), F.lit("two_parts")).alias("stem"), F.length("doc_id").alias("num_tokens"))
+    return migrate.entries(migrate_plan(spark, root), tokens)
+
+
 def migrate_plan(spark: SparkSession, root: str) -> DataFrame:
     """What would be done to files under old and new names."""
     ids = read_table(spark, root, "corpus").filter("id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct()
@@ -377,6 +424,17 @@ def store_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out).select("scheme", "part", *[F.round(c, 6).alias(c) for c in ("mse", "max_abs", "rel_mse")])
 
 
+def dynamic_values(spark: SparkSession, root: str) -> DataFrame:
+    """The same as sums, in fixed point, of the values times their places."""
+    own = st.Store(spark, _folder(spark, "dynamic"), DIM)
+    own.pack(cache(spark, root), "dense16")
+    heads = own.dynamic_caches(4, "dense16")
+    placed = heads.select("doc_id", "layer", "head", F.size("keys").alias("tokens"), F.posexplode(F.arrays_zip("keys", "values")).alias("t", "x"))
+    total = lambda c: F.aggregate(F.transform(c, lambda v, j: (v.cast("double") * FIXED).cast("long") * (j + 1)), F.lit(0).cast("long"), lambda s, v: s + v)
+    sums = [F.sum((F.col("t") + 1) * total(f"x.{c}")).alias(name) for c, name in (("keys", "k_total"), ("values", "v_total"))]
+    return placed.groupBy("doc_id", "layer", "head", "tokens").agg(*sums)
+
+
 def dynamic_cache(spark: SparkSession, root: str) -> DataFrame:
     """Every document's heads as arrays in token order, from a store: their length and checksums over all values."""
     own = st.Store(spark, _folder(spark, "dynamic"), DIM)
@@ -411,6 +469,7 @@ def queries() -> dict[str, Query]:
     plain = (
         wht_rotate, wht_unrotate, rms_scale, pack_bits_hex, roundtrip_error, attn_sdpa, attn_logits_plain, attn_logits_prod4, attn_mse_by_scheme, gqa_head_select,
         codebook_lloyd_max, layout_bytes, compression_summary, kv_mb_by_doc_scheme, doc_key, content_hash, safe_stem, dedupe_ids, limited_corpus, token_f1,
+        attn_mse_by_layer, eval_loader, corpus_files, windowed_latency, doc_token_count, migrate_counts, migrate_apply, dynamic_values,
         substring_accuracy, normalise_answers, extract_query, pad_contexts, truncate_tokens, latency_stats, run_latency_stats, scheme_report, oom_by_scheme,
         slots_default, slots_block_table, slots_physical, slot_map, page_export, manifest_latest, manifest_verify, precompute_missing, migrate_plan,
         store_roundtrip, dynamic_cache, p2_found, p2_report,

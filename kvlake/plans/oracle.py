@@ -14,6 +14,13 @@ def _f16(x: str) -> str:
     return f"(CASE WHEN abs({x}) >= 65520 THEN sign({x}) * 'inf'::DOUBLE WHEN abs({x}) < power(2e0, -14) THEN round_even({x} * 16777216e0, 0) / 16777216e0 ELSE {x} * 4398046511105e0 - ({x} * 4398046511105e0 - {x}) END)"
 
 
+def _hex16(x: str) -> str:
+    """The bytes, as hexadecimal digits, of a value that half precision holds."""
+    top = f"floor(log2(abs({x})))"
+    bits = f"(CASE WHEN {x} = 0 THEN 0 ELSE ({x} < 0)::INT * 32768 + CASE WHEN abs({x}) < power(2e0, -14) THEN (abs({x}) * 16777216e0)::INT ELSE ({top} + 15)::INT * 1024 + ((abs({x}) / power(2e0, {top}) - 1) * 1024)::INT END END)"
+    return f"printf('%02x%02x', {bits} & 255, {bits} >> 8)"
+
+
 def _code(z: str, levels: tuple[float, ...]) -> str:
     return "(" + " + ".join(f"({z} > {_num(m)})::INT" for m in codebook.midpoints(levels)) + ")"
 
@@ -135,11 +142,11 @@ def _plain_steps() -> list[str]:
     ]
 
 
-def _attn_mse(name: str) -> str:
+def _attn_mse(name: str, by: str = "") -> str:
     steps = [*_attended(name), _back("out", "q_id, doc_id, head", _TURNED[name], "got")]
     fused = f"WITH {', '.join(steps)} SELECT q_id, doc_id, head, i, x FROM got"
     plain = f"WITH {', '.join(_plain_steps())} SELECT q_id, doc_id, head, i, out FROM plain"
-    return f"(SELECT '{name}' AS scheme, round(avg((x - out) * (x - out)), 8) AS mse FROM ({fused}) f JOIN ({plain}) p USING (q_id, doc_id, head, i))"
+    return f"(SELECT '{name}' AS scheme{by}, round(avg((x - out) * (x - out)), 8) AS mse FROM ({fused}) f JOIN ({plain}) p USING (q_id, doc_id, head, i) GROUP BY ALL)"
 
 
 def _page_bytes() -> str:
@@ -203,17 +210,23 @@ def _last(xs: str) -> str:
     return f"list_filter(list_transform({xs}, lambda x: {_strip('x')}), lambda x: x <> '')[-1]"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+def _other() -> str:
+    paragraph = _last("string_split(prompt, chr(10) || chr(10))") + " || chr(10)"
+    return f"coalesce({paragraph}, {_quoted(T.OTHER_PROMPT)})"
+
+
 def _extract() -> str:
     asked = "'Question: ' || " + _strip("string_split(" + _strip("string_split(prompt, chr(10) || 'Question:')[-1]") + ", chr(10) || 'Answer:')[1]") + " || chr(10) || 'Answer:'"
     line = _last(_lines(_strip("prompt"))) + " || chr(10) || 'Answer:'"
-    paragraph = _last("string_split(prompt, chr(10) || chr(10))") + " || chr(10)"
     prompt = "context_text || chr(10) || 'Question: ' || query_prompt || chr(10) || 'Answer:'"
-    quoted = lambda s: "'" + s.replace("\n", "' || chr(10) || '") + "'"
-    other = f"coalesce({paragraph}, {quoted(T.OTHER_PROMPT)})"
     return f"""
 WITH p AS (SELECT doc_id, unnest(['qasper', 'hotpotqa', 'gov_report', 'other']) AS dataset, unnest([{prompt}, context_text, {prompt}, context_text]) AS prompt FROM eval_samples)
-SELECT doc_id, dataset, CASE WHEN dataset IN ('qasper', 'hotpotqa') THEN CASE WHEN contains(prompt, chr(10) || 'Question:') THEN {asked} ELSE coalesce({line}, {other}) END
-  WHEN dataset = 'gov_report' THEN {quoted(T.SUMMARY_PROMPT)} ELSE {other} END AS asked FROM p"""
+SELECT doc_id, dataset, CASE WHEN dataset IN ('qasper', 'hotpotqa') THEN CASE WHEN contains(prompt, chr(10) || 'Question:') THEN {asked} ELSE coalesce({line}, {_other()}) END
+  WHEN dataset = 'gov_report' THEN {_quoted(T.SUMMARY_PROMPT)} ELSE {_other()} END AS asked FROM p"""
 
 
 _PADDED = f"""
@@ -321,8 +334,25 @@ FROM m LEFT JOIN (SELECT ttft_ms, kv_mb FROM m WHERE scheme = 'fp16') b ON true
     "manifest_latest": _ROWS + """SELECT store_name, doc_id, layer, scheme, sha256, key, num_tokens, stored_at FROM
       (SELECT *, row_number() OVER (PARTITION BY store_name, doc_id, layer, scheme ORDER BY stored_at DESC NULLS LAST, sha256 DESC NULLS LAST, key DESC NULLS LAST, num_tokens DESC NULLS LAST) AS nth FROM r) WHERE nth = 1""",
     "manifest_verify": _ROWS + f"""SELECT store_name, CASE WHEN sha256 IS DISTINCT FROM sha256(doc_id) THEN 'wrong_hash' WHEN key IS DISTINCT FROM {_KEY.format("doc_id", "layer", "scheme")} THEN 'wrong_key' ELSE 'ok' END AS status, count(*) AS n FROM r GROUP BY ALL""",
-    "precompute_missing": _ROWS + """SELECT doc_id, 0 AS layer, scheme FROM (SELECT DISTINCT id AS doc_id FROM corpus WHERE removed_at IS NULL AND id IS NOT NULL), (VALUES ('fp16'), ('turbo_prod')) s(scheme)
-      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = id_.doc_id AND r.layer = 0 AND r.scheme = s.scheme)""".replace("IS NOT NULL), (VALUES", "IS NOT NULL) id_, (VALUES").replace("SELECT doc_id, 0", "SELECT id_.doc_id, 0").replace("layer, scheme FROM (SELECT", "layer, s.scheme FROM (SELECT"),
+    "precompute_missing": """
+WITH docs AS (SELECT DISTINCT id AS doc_id FROM corpus WHERE removed_at IS NULL AND id IS NOT NULL),
+reg AS (SELECT DISTINCT layer_key, layer, scheme FROM layer_registry WHERE retired_at IS NULL),
+e AS (SELECT store_name, unnest(map_entries(entries)) AS x FROM manifest),
+named AS (SELECT DISTINCT store_name, x.key AS doc_id FROM e),
+held AS (SELECT DISTINCT store_name, x.key AS doc_id, unnest(map_keys(x.value.layers)) AS layer_key FROM e),
+wanted AS (SELECT store_name, doc_id, layer_key, layer, scheme FROM docs LEFT JOIN named USING (doc_id), reg)
+SELECT store_name, doc_id, layer, scheme FROM wanted w WHERE NOT EXISTS
+  (SELECT 1 FROM held h WHERE h.doc_id = w.doc_id AND h.layer_key = w.layer_key AND h.store_name IS NOT DISTINCT FROM w.store_name)""",
+    "doc_token_count": _ROWS + """, d AS (SELECT DISTINCT id AS doc_id FROM corpus WHERE removed_at IS NULL AND id IS NOT NULL),
+      n AS (SELECT doc_id, num_tokens, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(stored_at, '-inf'::DOUBLE) DESC, num_tokens DESC NULLS LAST) AS nth FROM r WHERE layer = 0 AND scheme = 'fp16')
+      SELECT doc_id, coalesce(num_tokens, 512) AS num_tokens FROM d LEFT JOIN (SELECT * FROM n WHERE nth = 1) USING (doc_id)""",
+    "windowed_latency": "SELECT date_trunc('hour', ts) AS start, event_type, count(value) AS n, round(avg(value), 6) AS avg, max(value) AS most FROM events GROUP BY ALL",
+    "corpus_files": "SELECT 'r' || seq AS id, md5(text) AS hash FROM corpus WHERE removed_at IS NULL AND text <> ''",
+    "eval_loader": f"""
+WITH s AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, CASE WHEN context_tokens % 5 <> 0 OR context_tokens IS NULL THEN nullif(context_text, '') END AS c FROM eval_samples),
+t AS (SELECT i, coalesce(c, query_prompt, '') AS whole, coalesce(query_prompt, '') AS prompt FROM s WHERE i < 100),
+w AS (SELECT *, {_words("whole")} AS w FROM t)
+SELECT 'other_' || printf('%04d', i) AS doc_id, CASE WHEN len(w) > 60 THEN array_to_string(list_slice(w, 1, 60), ' ') ELSE whole END AS context_text, {_other()} AS query_prompt, least(len(w), 60)::INT AS context_tokens FROM w""",
     "migrate_plan": f"""
 WITH d AS (SELECT DISTINCT id AS doc_id, length(id) AS len FROM corpus WHERE id IS NOT NULL),
 two AS (SELECT *, {_KEY.format("doc_id", "3", chr(39) + "two_parts" + chr(39))} || '.bin' AS now FROM d)
@@ -331,4 +361,39 @@ UNION ALL SELECT k, doc_id, 'adopt', k FROM (SELECT doc_id, {_KEY.format("doc_id
     "p2_found": _P2 + "SELECT manifest_id, doc_id, layer_key, ref_table, status FROM found WHERE status IS NOT NULL",
     "p2_report": _P2 + "SELECT ref_table, strftime(make_timestamp((stored_at * 1e6)::BIGINT), '%Y-%m') AS month, status, count(*) AS n_refs, count(DISTINCT doc_id) AS n_docs FROM found WHERE status IS NOT NULL GROUP BY 1, 2, 3",
 }
-SQL["store_roundtrip"] = " UNION ALL ".join(map(_roundtrip, ("mse4", "prod4")))
+SQL["store_roundtrip"] = SQL["roundtrip_error"]
+SQL["migrate_counts"] = f"SELECT action, count(*) AS n FROM ({SQL['migrate_plan']}) GROUP BY action"
+SQL["migrate_apply"] = f"""
+WITH p AS ({SQL["migrate_plan"]})
+SELECT DISTINCT doc_id, sha256(doc_id) AS sha256, CASE WHEN action = 'rename' THEN 3 ELSE 4 END AS layer, CASE WHEN action = 'rename' THEN 'two_parts' ELSE 'mse4' END AS scheme,
+  left(new_name, length(new_name) - 4) AS key, CASE WHEN action = 'rename' AND length(doc_id) % 5 = 0 THEN length(doc_id)::INT END AS num_tokens FROM p WHERE action <> 'skip'"""
+SQL["dynamic_values"] = _with(_KV) + f"""SELECT doc_id, 0 AS layer, head, count(DISTINCT token)::INT AS tokens,
+  sum((token + 1) * (i + 1) * {_FIXED.format('x')}) FILTER (WHERE part = 'k')::BIGINT AS k_total, sum((token + 1) * (i + 1) * {_FIXED.format('x')}) FILTER (WHERE part = 'v')::BIGINT AS v_total FROM el GROUP BY doc_id, head"""
+SQL["attn_mse_by_layer"] = " UNION ALL ".join(_attn_mse(n, ", (doc_id::INT % 3)::INT AS layer") for n in layouts.SCHEMES)
+SQL["codes_dense16"] = _with(_KV, *(f"{p} AS (SELECT doc_id, head, token, string_agg({_hex16('x')}, '' ORDER BY i) AS {p}_hex FROM el WHERE part = '{p}' GROUP BY ALL)" for p in "kv")) + """
+SELECT doc_id, head, token, k_hex, v_hex, -1::BIGINT AS k_scale, -1::BIGINT AS k_residual, -1::BIGINT AS v_scale FROM k JOIN v USING (doc_id, head, token)"""
+SQL["page_export"] = f"""
+WITH codes AS ({_codes("prod4")}),
+slots AS (SELECT *, row_number() OVER (PARTITION BY doc_id, head ORDER BY token) - 1 AS slot FROM codes),
+cells AS (SELECT doc_id, slot // 16 AS page, slot % 16 * 2 + head AS cell, k_hex, v_hex, {", ".join(f"{_hex16(f'({c} / 134217728e0)')} AS {c}" for c in ("k_scale", "k_residual", "v_scale"))} FROM slots),
+whole AS (SELECT doc_id, page, cell FROM (SELECT DISTINCT doc_id, page FROM cells), range(32) r(cell)),
+pages AS (SELECT doc_id, page, {" || ".join(f"string_agg(coalesce({c}, repeat('0', {n})), '' ORDER BY cell)" for c, n in (("k_hex", 64), ("k_residual", 4), ("k_scale", 4), ("v_hex", 64), ("v_scale", 4)))} AS hex FROM whole LEFT JOIN cells USING (doc_id, page, cell) GROUP BY ALL)
+SELECT doc_id, 0 AS layer, page::INT AS page, sha256(unhex(hex)) AS sha256, (length(hex) // 2)::INT AS n_bytes FROM pages"""
+
+
+def _folded(pieces: str, overlap: int, join: str) -> str:
+    """Documents' pieces joined up to 96 words, a chunk beginning with the closing pieces of the one before that have at most
+    `overlap` words: one step a piece, from chunk to chunk."""
+    return f"""
+WITH RECURSIVE c AS (SELECT *, list_transform(p, lambda x: len({_words("x")})) AS n FROM
+  (SELECT doc_id AS seq, {_stem("source || '/' || doc_id::VARCHAR")} AS stem, list_filter(list_transform({pieces}, lambda x: {_strip("x")}), lambda x: x <> '') AS p FROM documents WHERE {_strip("text")} <> '') WHERE len(p) > 0),
+f AS (SELECT seq, 0::BIGINT AS pos, 0::BIGINT AS b, 0::BIGINT AS held, -1::BIGINT AS eb, -1::BIGINT AS ee FROM c
+  UNION ALL SELECT seq, pos + 1, CASE WHEN turn THEN pos - k ELSE b END, ((CASE WHEN turn THEN coalesce(list_sum(list_slice(n, pos - k + 1, pos)), 0) ELSE held END) + n[pos + 1])::BIGINT, CASE WHEN turn THEN b ELSE -1 END, CASE WHEN turn THEN pos ELSE -1 END
+  FROM (SELECT f.*, n, pos > b AND held + n[pos + 1] > 96 AS turn, CASE WHEN {overlap} = 0 THEN 0 ELSE list_max(list_filter(range(least(pos, {overlap}) + 1), lambda k: coalesce(list_sum(list_slice(n, pos - k + 1, pos)), 0) <= {overlap})) END AS k FROM f JOIN c USING (seq) WHERE pos < len(n))),
+cut AS (SELECT seq, eb, ee FROM f WHERE ee >= 0 UNION ALL SELECT f.seq, b, pos FROM f JOIN c USING (seq) WHERE pos = len(n)),
+k AS (SELECT cut.*, stem, p, row_number() OVER (PARTITION BY seq ORDER BY ee) - 1 AS chunk, count(*) OVER (PARTITION BY seq) AS total FROM cut JOIN c USING (seq))
+SELECT seq, chunk::INT AS chunk, CASE WHEN total = 1 THEN stem ELSE stem || '_c' || printf('%03d', chunk) END AS id, array_to_string(list_slice(p, eb + 1, ee), {join}) AS text FROM k"""
+
+
+SQL["chunk_sentence"] = _folded(r"string_split(regexp_replace(" + _strip("text") + r", '([.!?])" + _SP + r"+', '\1' || chr(1), 'g'), chr(1))", 16, "' '")
+SQL["chunk_paragraph"] = _folded(r"regexp_split_to_array(text, '\n" + _SP + r"*\n')", 0, "chr(10) || chr(10)")
