@@ -159,3 +159,16 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["key", "ids"])
 
     return kept.mapInArrow(run, f"key {kept.schema['key'].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+
+
+def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
+    """key, text of every row of ids; null and empty lists give an empty text, ids that the vocabulary lacks raise."""
+    tokens = df.sparkSession.sparkContext.broadcast(read_ranks(path or os.path.join(TOKENIZERS, VOCABULARY)))
+    kept = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [b"".join(map(tokens.value.__getitem__, own or ())).decode("utf-8", "surrogatepass") for own in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
+
+    return kept.mapInArrow(run, f"key {kept.schema['key'].dataType.simpleString()}, text string").withColumnRenamed("key", key)

@@ -117,6 +117,12 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode.encode_corpus(read_table(spark, root, "documents"))
 
 
+def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """The hashes of the texts that the ids stand for, and their number."""
+    ids = p6_ids(spark, root)
+    return encode.decode_corpus(ids).select("doc_id", F.md5("text").alias("hash"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Each document with each evaluation sample found in it."""
     return leaks.leaked(read_table(spark, root, "documents"), read_table(spark, root, "eval_samples"))
@@ -143,7 +149,7 @@ def p8_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checked, p3_found, p4_percentiles, p4_month_percentiles, p4_rank_errors, p5_found, p5_collapsed, p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_repaired)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_checked, p3_found, p4_percentiles, p4_month_percentiles, p4_rank_errors, p5_found, p5_collapsed, p6_ids, p6_decoded, p7_found, p7_spans, p7_cleaned, p8_found, p8_repaired)}
 
 
 _QUANTILES = ", ".join(f"list_sort(list(x))[greatest(1, ceil(round({q} * count(x), 6)))::BIGINT] AS {name}" for name, q in QS.items())
@@ -167,6 +173,7 @@ SELECT dataset, scheme, metric, count(x) AS n, 3::BIGINT AS "within", count(x) >
         "p5_found": _P5 + "SELECT min_seq AS first_seq, seq FROM (SELECT seq, min(seq) OVER (PARTITION BY k) AS min_seq FROM keyed) WHERE seq > min_seq",
         "p5_collapsed": _P5 + "SELECT min(seq) AS seq, count(*) AS n_copies FROM keyed GROUP BY k",
         "p1_found": _P1,
+        "p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents",
         "p1_checked": "SELECT seq, md5(text) AS joined, true AS within_limit, true AS overlaps, true AS cut_well FROM corpus WHERE length(text) > 2000",
     }
 

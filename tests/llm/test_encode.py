@@ -31,3 +31,9 @@ def test_rows(spark, other):
     got = [(r.doc_id, r.ids) for r in encode.encode_corpus(spark.createDataFrame(rows, "doc_id int, text string")).collect()]
     assert sorted(got, key=str) == sorted([(i, other.encode_ordinary(t or "")) for i, t in rows], key=str)
     assert encode.encode_corpus(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_ids_stand_for_the_texts(spark):
+    rows = [(1, "Hello  world é 中 😀\r\n"), (2, None), (3, ""), (1, "Hello"), (None, "\x00 \t")]
+    coded = encode.encode_corpus(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted(((r.doc_id, r.text) for r in encode.decode_corpus(coded).collect()), key=str) == sorted(((i, t or "") for i, t in rows), key=str)
