@@ -35,15 +35,18 @@ def _bounds(df: DataFrame, order: list[str], parts: int) -> list[tuple]:
 
 
 def _range_of(df: DataFrame, order: list[str], bounds: list[tuple]) -> Column:
-    """How many of the bounds are not above a row's key: a binary search, and a function of the key alone."""
+    """How many of the bounds are not above a row's key, a function of the key alone: counted among every RANGES-th bound,
+    and then among those that follow."""
     types = dict(df.dtypes)
-    whole = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, key, strict=True)]) for key in bounds])
-    key = F.struct(*[F.col(c).alias(c) for c in order])
-    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-    below = lambda s: (s["lo"] < s["hi"]) & (F.element_at(whole, F.least(middle(s) + 1, F.lit(len(bounds)))) <= key)
-    step = lambda s, _: F.struct(F.when(below(s), middle(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(below(s), s["hi"]).otherwise(F.least(s["hi"], middle(s))).alias("hi"))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, step, lambda s: s["lo"])
+    one = len(order) == 1
+    value = lambda key: F.lit(key[0]).cast(types[order[0]]) if one else F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, key, strict=True)])
+    key = F.col(f"`{order[0]}`") if one else F.struct(*[F.col(f"`{c}`").alias(c) for c in order])
+    reached = lambda keys: F.size(F.filter(keys, lambda b: (b <= key) | b.isNull()))  # noqa: E731  # nulls come first
+    every, whole = bounds[RANGES - 1 :: RANGES], F.array(*map(value, bounds))
+    if not every:
+        return reached(whole)
+    begun = reached(F.array(*map(value, every))) * RANGES
+    return begun + reached(F.slice(whole, begun + 1, F.lit(RANGES)))
 
 
 def running_total(df: DataFrame, value: str, order: list[str], out: str, parts: int | None = None) -> DataFrame:
@@ -57,7 +60,8 @@ def running_total(df: DataFrame, value: str, order: list[str], out: str, parts:
     """
     parts = parts or min(max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 4096)
     bounds = _bounds(df, order, parts)
-    ranged = df.withColumn("__part", _range_of(df, order, bounds) if bounds else F.lit(0))
+    # a generated column, so that grouping by it does not depend on how its expression is rewritten
+    ranged = df.select("*", F.explode(F.array(_range_of(df, order, bounds) if bounds else F.lit(0))).alias("__part"))
     sums = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))  # one row per range
