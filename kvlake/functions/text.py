@@ -11,7 +11,7 @@ WORD = r"[\p{L}\p{N}_]"
 #: The punctuation that a comparison of answers disregards.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 #: Evaluation sets of the question and the summary kind, and the prompts for those without a question.
-QUESTION_SETS = ("qasper", "multifieldqa_en", "hotpotqa", "2wikimqa", "musique", "narrativeqa", "triviaqa")
+QUESTION_SETS = ("qasper", "2wikimqa", "multifieldqa_en", "hotpotqa", "triviaqa", "narrativeqa", "musique")
 SUMMARY_SETS = ("gov_report", "qmsum", "multi_news", "vcsum")
 SUMMARY_PROMPT = "Please provide a concise summary of the document above.\nSummary:"
 OTHER_PROMPT = "Respond based on the context above.\n"
