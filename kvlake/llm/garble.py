@@ -130,6 +130,8 @@ _ODD = frozenset(
 )
 INSIDE = np.zeros(0x110000, bool)
 INSIDE[[ord(c) for c in _ODD]] = True
+#: Ideographs that the two bytes of a Western letter become, which do not stand inside a Western word either.
+INSIDE[[ord(c) for codec in _DOUBLE for small in _SMALL for c in (small + small.upper()).encode().decode(codec, "ignore") if ord(c) > 0x2E7F]] = True
 
 
 #: Codecs in the order of their bits in `_form`, then the others.

@@ -69,3 +69,17 @@ def test_escaped_characters(spark):
     }
     got = found(spark, [*rows, *((i, bad) for i, (bad, _) in made.items())])
     assert {i: r.restored for i, r in got.items()} == {i: right for i, (_, right) in made.items() if right}
+
+
+def test_a_third_of_the_rows_by_every_pair_of_codecs():
+    french, german = "La décision de la régie a précédé les opérations.", "Ein größerer Puffer überholt die ältere Prüfung; später hört der Wächter auf."
+    clean = [(i, (french, german, *CLEAN)[i % 10] + f" Nr {i}.") for i in range(300)]
+    pairs = [("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), *((w, "utf-8") for w in ("cp1252", "cp437", "mac_roman", "cp850", "gbk"))]
+    for text in (french, german):
+        for wrong, true in pairs:
+            bad = text.encode(true).decode(wrong, "replace")
+            texts = [f"{bad} Nr {i}." if i % 3 == 0 else t for i, t in clean]
+            counts = garble.Counts()
+            counts.add(texts)
+            finder = garble.Finder(garble.improbability(list(zip(*counts.rows(), strict=True))))
+            assert [i for i, hit in enumerate(finder.find(texts)) if hit] == list(range(0, 300, 3)), (wrong, true)
