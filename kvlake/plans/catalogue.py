@@ -304,7 +304,7 @@ def scheme_report(spark: SparkSession, root: str) -> DataFrame:
 def windowed_latency(spark: SparkSession, root: str) -> DataFrame:
     """The events' values by hour and type, as the stream reports them."""
     found = slots.windowed_latency(read_table(spark, root, "events"), "1 hour", "1 hour")
-    return found.withColumn("avg", F.round("avg", 6))
+    return found.withColumn("avg", F.round("avg", 9))  # no ties at so many digits
 
 
 def oom_by_scheme(spark: SparkSession, root: str) -> DataFrame:

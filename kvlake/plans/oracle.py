@@ -333,7 +333,7 @@ FROM m LEFT JOIN (SELECT ttft_ms, kv_mb FROM m WHERE scheme = 'fp16') b ON true
       SELECT seq_id, "order", arg_min(slot, token) AS first, arg_max(slot, token) AS last, count(*) AS n, sum(slot)::BIGINT AS total FROM s GROUP BY ALL""",
     "manifest_latest": _ROWS + """SELECT store_name, doc_id, layer, scheme, sha256, key, num_tokens, stored_at FROM
       (SELECT *, row_number() OVER (PARTITION BY store_name, doc_id, layer, scheme ORDER BY stored_at DESC NULLS LAST, sha256 DESC NULLS LAST, key DESC NULLS LAST, num_tokens DESC NULLS LAST) AS nth FROM r) WHERE nth = 1""",
-    "manifest_verify": _ROWS + f"""SELECT store_name, CASE WHEN sha256 IS DISTINCT FROM sha256(doc_id) THEN 'wrong_hash' WHEN key IS DISTINCT FROM {_KEY.format("doc_id", "layer", "scheme")} THEN 'wrong_key' ELSE 'ok' END AS status, count(*) AS n FROM r GROUP BY ALL""",
+    "manifest_verify": _ROWS + f"""SELECT store_name, CASE WHEN sha256 IS DISTINCT FROM sha256(doc_id) THEN 'wrong_hash' WHEN key IS NULL OR key IS DISTINCT FROM {_KEY.format("doc_id", "layer", "scheme")} THEN 'wrong_key' ELSE 'ok' END AS status, count(*) AS n FROM r GROUP BY ALL""",
     "precompute_missing": """
 WITH docs AS (SELECT DISTINCT id AS doc_id FROM corpus WHERE removed_at IS NULL AND id IS NOT NULL),
 reg AS (SELECT DISTINCT layer_key, layer, scheme FROM layer_registry WHERE retired_at IS NULL),
@@ -346,7 +346,7 @@ SELECT store_name, doc_id, layer, scheme FROM wanted w WHERE NOT EXISTS
     "doc_token_count": _ROWS + """, d AS (SELECT DISTINCT id AS doc_id FROM corpus WHERE removed_at IS NULL AND id IS NOT NULL),
       n AS (SELECT doc_id, num_tokens, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(stored_at, '-inf'::DOUBLE) DESC, num_tokens DESC NULLS LAST) AS nth FROM r WHERE layer = 0 AND scheme = 'fp16')
       SELECT doc_id, coalesce(num_tokens, 512) AS num_tokens FROM d LEFT JOIN (SELECT * FROM n WHERE nth = 1) USING (doc_id)""",
-    "windowed_latency": "SELECT date_trunc('hour', ts) AS start, event_type, count(value) AS n, round(avg(value), 6) AS avg, max(value) AS most FROM events GROUP BY ALL",
+    "windowed_latency": "SELECT date_trunc('hour', ts) AS start, event_type, count(value) AS n, round(avg(value), 9) AS avg, max(value) AS most FROM events GROUP BY ALL",
     "corpus_files": "SELECT 'r' || seq AS id, md5(text) AS hash FROM corpus WHERE removed_at IS NULL AND text <> ''",
     "eval_loader": f"""
 WITH s AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, CASE WHEN context_tokens % 5 <> 0 OR context_tokens IS NULL THEN nullif(context_text, '') END AS c FROM eval_samples),
