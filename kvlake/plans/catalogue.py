@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +13,7 @@ from kvlake.functions import text as T
 from kvlake.functions import vectors as V
 from kvlake.operators import attention, corpus, metrics, paging, references, schemes
 from kvlake.plans import pipeline
-from kvlake.session import read_table, shared_folder
+from kvlake.session import own_folder, read_table
 from kvlake.sources import files, migrate
 from kvlake.sources import store as st
 from kvlake.streaming import slots
@@ -259,6 +258,12 @@ def pad_contexts(spark: SparkSession, root: str) -> DataFrame:
     return corpus.padded_contexts(read_table(spark, root, "eval_samples"), 512)
 
 
+def model_alias(spark: SparkSession, root: str) -> DataFrame:
+    """What the short names of models stand for, whatever their case, and names that are none."""
+    asked = [*T.MODEL_ALIASES, *(x.upper() for x in T.MODEL_ALIASES), "own/Model-1", ""]
+    return spark.createDataFrame([(x, T.resolve_alias(x, T.MODEL_ALIASES)) for x in asked], "name string, model string")
+
+
 def eval_loader(spark: SparkSession, root: str) -> DataFrame:
     """Samples as a loader makes them: the first 100, the input where there is no context, 60 words of the context."""
     blank = F.when(F.col("context_tokens") % 5 == 0, F.lit("")).otherwise(F.col("context_text"))
@@ -269,7 +274,7 @@ def eval_loader(spark: SparkSession, root: str) -> DataFrame:
 def corpus_files(spark: SparkSession, root: str) -> DataFrame:
     """The records in force, written as JSON lines and read again: ids and the hashes of their texts."""
     rows = read_table(spark, root, "corpus").filter("removed_at IS NULL AND text IS NOT NULL").select(F.concat(F.lit("r"), "seq").alias("id"), "text")
-    folder = _folder(spark, "corpus")
+    folder = own_folder(spark, "corpus")
     files.write_corpus(rows, folder)
     return files.read_jsonl(spark, folder, "json").select(F.col("base_id").alias("id"), F.md5("text").alias("hash"))
 
@@ -403,14 +408,9 @@ def migrate_plan(spark: SparkSession, root: str) -> DataFrame:
     return migrate.plan(old.unionByName(odd).unionByName(new), ids, known)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a query's own store, beside the checkpoints, which all executors share."""
-    return f"{shared_folder(spark)}/kvlake-{name}-{uuid.uuid4().hex[:12]}"
-
-
 def store_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     """Stored, verified and read again: errors by scheme and part."""
-    own = st.Store(spark, _folder(spark, "store"), DIM)
+    own = st.Store(spark, own_folder(spark, "store"), DIM)
     vectors = cache(spark, root)
     for name in schemes.SCHEMES:
         own.pack(vectors, name)
@@ -426,7 +426,7 @@ def store_roundtrip(spark: SparkSession, root: str) -> DataFrame:
 
 def dynamic_values(spark: SparkSession, root: str) -> DataFrame:
     """The same as sums, in fixed point, of the values times their places."""
-    own = st.Store(spark, _folder(spark, "dynamic"), DIM)
+    own = st.Store(spark, own_folder(spark, "dynamic"), DIM)
     own.pack(cache(spark, root), "dense16")
     heads = own.dynamic_caches(4, "dense16")
     placed = heads.select("doc_id", "layer", "head", F.size("keys").alias("tokens"), F.posexplode(F.arrays_zip("keys", "values")).alias("t", "x"))
@@ -437,7 +437,7 @@ def dynamic_values(spark: SparkSession, root: str) -> DataFrame:
 
 def dynamic_cache(spark: SparkSession, root: str) -> DataFrame:
     """Every document's heads as arrays in token order, from a store: their length and checksums over all values."""
-    own = st.Store(spark, _folder(spark, "dynamic"), DIM)
+    own = st.Store(spark, own_folder(spark, "dynamic"), DIM)
     own.pack(cache(spark, root), "dense16")
     return own.dynamic_caches(4, "dense16").select("doc_id", "layer", "head", F.size("keys").alias("tokens"), F.xxhash64("keys").alias("k_sum"), F.xxhash64("values").alias("v_sum"))
 
@@ -469,7 +469,7 @@ def queries() -> dict[str, Query]:
     plain = (
         wht_rotate, wht_unrotate, rms_scale, pack_bits_hex, roundtrip_error, attn_sdpa, attn_logits_plain, attn_logits_prod4, attn_mse_by_scheme, gqa_head_select,
         codebook_lloyd_max, layout_bytes, compression_summary, kv_mb_by_doc_scheme, doc_key, content_hash, safe_stem, dedupe_ids, limited_corpus, token_f1,
-        attn_mse_by_layer, eval_loader, corpus_files, windowed_latency, doc_token_count, migrate_counts, migrate_apply, dynamic_values,
+        attn_mse_by_layer, model_alias, eval_loader, corpus_files, windowed_latency, doc_token_count, migrate_counts, migrate_apply, dynamic_values,
         substring_accuracy, normalise_answers, extract_query, pad_contexts, truncate_tokens, latency_stats, run_latency_stats, scheme_report, oom_by_scheme,
         slots_default, slots_block_table, slots_physical, slot_map, page_export, manifest_latest, manifest_verify, precompute_missing, migrate_plan,
         store_roundtrip, dynamic_cache, p2_found, p2_report,

@@ -361,6 +361,10 @@ UNION ALL SELECT k, doc_id, 'adopt', k FROM (SELECT doc_id, {_KEY.format("doc_id
     "p2_found": _P2 + "SELECT manifest_id, doc_id, layer_key, ref_table, status FROM found WHERE status IS NOT NULL",
     "p2_report": _P2 + "SELECT ref_table, strftime(make_timestamp((stored_at * 1e6)::BIGINT), '%Y-%m') AS month, status, count(*) AS n_refs, count(DISTINCT doc_id) AS n_docs FROM found WHERE status IS NOT NULL GROUP BY 1, 2, 3",
 }
+_ALIASES = ", ".join(f"('{a}', '{b}')" for a, b in T.MODEL_ALIASES.items())
+SQL["model_alias"] = f"""
+WITH known(short, model) AS (VALUES {_ALIASES}), asked(name) AS (SELECT short FROM known UNION ALL SELECT upper(short) FROM known UNION ALL VALUES ('own/Model-1'), (''))
+SELECT name, coalesce(model, name) AS model FROM asked LEFT JOIN known ON short = lower(name)"""
 SQL["store_roundtrip"] = SQL["roundtrip_error"]
 SQL["migrate_counts"] = f"SELECT action, count(*) AS n FROM ({SQL['migrate_plan']}) GROUP BY action"
 SQL["migrate_apply"] = f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,16 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, for what a query writes; it goes when the application ends."""
+    folder = f"{shared_folder(spark)}/kvlake-{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """The rows of `df`, computed once and read from the shared folder from then on, also after executors are lost."""
     folder = shared_folder(df.sparkSession)

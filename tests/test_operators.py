@@ -148,3 +148,21 @@ def test_references(spark):
     everything = references.orphans(references.references(manifest), parents.limit(0))
     assert {r.status for r in everything.collect()} == {"missing"} and everything.count() == 5 + 4 + 3  # documents, layers, files named
     assert references.orphan_report(references.orphans(references.references(manifest.limit(0)), parents)).count() == 0
+
+
+def test_names_and_lists_of_schemes():
+    assert T.parse_schemes(" a, b ,,c,") == ["a", "b", "c"] and T.parse_schemes("") == []
+    assert T.resolve_alias("PHI3-mini", T.MODEL_ALIASES) == "microsoft/Phi-3-mini-4k-instruct" and T.resolve_alias("x/Y", T.MODEL_ALIASES) == "x/Y"
+
+
+def test_states_of_a_block_table():
+    table = paging.BlockTable(paging.BlockPool(4), 16)
+    assert table.append("a", 17) == [*range(17)] and table.append("b", 1) == [32] and table.append("a", 1) == [17]
+    assert table.state("a") == ([0, 1], 18) and table.state("b") == ([2], 1)
+    with pytest.raises(paging.OutOfBlocks):
+        table.append("b", 40)
+    assert table.state("b") == ([2], 1)
+    table.release("a")
+    with pytest.raises(KeyError):
+        table.state("a")
+    assert table.append("c", 1) == [0] and table.append("c", 20)[-1] == 1 * 16 + 4

@@ -93,3 +93,31 @@ def test_group_heads(spark):
     assert sorted(r.head for r in attention.select_group_heads(q, 8, 2).collect()) == [0, 1]
     with pytest.raises(ValueError):
         attention.select_group_heads(q, 8, 3)
+
+
+def test_attention_over_many_small_batches(spark):
+    rng = np.random.default_rng(5)
+    vec = lambda: rng.normal(size=8).astype("float32").tolist()
+    docs = ["hot"] * 90 + [f"d{i}" for i in range(40)]
+    rows = [(d, 0, 0, i, vec(), vec(), i) for i, d in enumerate(docs)] + [("hot", 0, 0, 999, None, vec(), 1), ("d1", 0, 0, 999, vec(), None, 1)]
+    cache = spark.createDataFrame(rows, "doc_id string, layer int, head int, token int, k array<float>, v array<float>, q int").repartition(5)
+    asked = [(f"q{i}", d, 0, 0, vec()) for i, d in enumerate([*sorted(set(docs)), "hot", "none"])] + [("null", "hot", 0, 0, None)]
+    queries = spark.createDataFrame(asked, "q_id string, doc_id string, layer int, head int, q array<float>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        plain = {r.q_id: np.array(r.out) for r in attention.plain_attention(queries, cache, 8).collect()}
+        dense = {r.q_id: np.array(r.out) for r in attention.packed_attention(queries, schemes.pack(cache, "dense16", 8), "dense16", 8).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    half = lambda x: np.array(x, np.float16).astype(float)
+    for q_id, doc, _, _, q in asked[:-2]:
+        own = [r for r in rows if r[0] == doc and r[4] and r[5]]
+        s = np.stack([half(r[4]) for r in own]) @ half(q) / 8**0.5
+        w = np.exp(s - s.max())
+        want = (w[:, None] * np.stack([half(r[5]) for r in own])).sum(0) / w.sum()
+        assert np.abs(plain[q_id] - want).max() < 1e-9 and np.abs(dense[q_id] - want).max() < 2e-3
+    assert set(plain) == set(dense) == {a[0] for a in asked[:-2]}
+    assert attention.plain_attention(queries.limit(0), cache, 8).count() == 0 == attention.packed_attention(queries, schemes.pack(cache.limit(0), "mse4", 8), "mse4", 8).count()
+    errors = attention.attention_error(queries, cache, {"dense16": schemes.pack(cache, "dense16", 8)}, 8, ("doc_id",))
+    assert errors.count() == 41 and errors.filter("mse > 1e-6").count() == 0
