@@ -279,6 +279,16 @@ def corpus_files(spark: SparkSession, root: str) -> DataFrame:
     return files.read_jsonl(spark, folder, "json").select(F.col("base_id").alias("id"), F.md5("text").alias("hash"))
 
 
+def corpus_csv(spark: SparkSession, root: str) -> DataFrame:
+    """The same through CSV files, in which some texts hold line ends and quotes."""
+    rows = read_table(spark, root, "corpus").filter("removed_at IS NULL AND text IS NOT NULL").select(F.concat(F.lit("r"), "seq").alias("id"), "text")
+    folder = own_folder(spark, "csv")
+    single = ~F.col("text").rlike("[\r\n]")
+    for kind, part in (("single", rows.filter(single)), ("several", rows.filter(~single))):
+        part.write.option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(f"{folder}/{kind}")
+    return files.read_csv(spark, folder).select(F.col("base_id").alias("id"), F.md5("text").alias("hash"))
+
+
 def truncate_tokens(spark: SparkSession, root: str) -> DataFrame:
     """Contexts cut to 50 words, and the prompt for them."""
     s = read_table(spark, root, "eval_samples")
@@ -469,7 +479,7 @@ def queries() -> dict[str, Query]:
     plain = (
         wht_rotate, wht_unrotate, rms_scale, pack_bits_hex, roundtrip_error, attn_sdpa, attn_logits_plain, attn_logits_prod4, attn_mse_by_scheme, gqa_head_select,
         codebook_lloyd_max, layout_bytes, compression_summary, kv_mb_by_doc_scheme, doc_key, content_hash, safe_stem, dedupe_ids, limited_corpus, token_f1,
-        attn_mse_by_layer, model_alias, eval_loader, corpus_files, windowed_latency, doc_token_count, migrate_counts, migrate_apply, dynamic_values,
+        attn_mse_by_layer, model_alias, eval_loader, corpus_files, corpus_csv, windowed_latency, doc_token_count, migrate_counts, migrate_apply, dynamic_values,
         substring_accuracy, normalise_answers, extract_query, pad_contexts, truncate_tokens, latency_stats, run_latency_stats, scheme_report, oom_by_scheme,
         slots_default, slots_block_table, slots_physical, slot_map, page_export, manifest_latest, manifest_verify, precompute_missing, migrate_plan,
         store_roundtrip, dynamic_cache, p2_found, p2_report,

@@ -365,6 +365,7 @@ _ALIASES = ", ".join(f"('{a}', '{b}')" for a, b in T.MODEL_ALIASES.items())
 SQL["model_alias"] = f"""
 WITH known(short, model) AS (VALUES {_ALIASES}), asked(name) AS (SELECT short FROM known UNION ALL SELECT upper(short) FROM known UNION ALL VALUES ('own/Model-1'), (''))
 SELECT name, coalesce(model, name) AS model FROM asked LEFT JOIN known ON short = lower(name)"""
+SQL["corpus_csv"] = SQL["corpus_files"]
 SQL["store_roundtrip"] = SQL["roundtrip_error"]
 SQL["migrate_counts"] = f"SELECT action, count(*) AS n FROM ({SQL['migrate_plan']}) GROUP BY action"
 SQL["migrate_apply"] = f"""

@@ -197,3 +197,29 @@ def test_json_lines_by_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     rows = [(i, json.loads(x)) for i, x in enumerate(lines) if x]
     assert got == [(r.get("id", f"big file_{i}"), r.get("text") or r.get("content")) for i, r in rows if r.get("text") or r.get("content")]
+
+
+def test_csv_by_splits_and_whole(spark, tmp_path):
+    import csv
+    import io
+
+    def write(name, rows, end="\r\n"):
+        out = io.StringIO(newline="")
+        csv.writer(out, lineterminator=end).writerows(rows)
+        (tmp_path / name).write_text(out.getvalue(), encoding="utf-8", newline="")
+
+    plain = [["n", "text", "id"], *([str(i), f'say "{i}", é', f"p{i}" if i % 2 else ""] for i in range(900))]
+    write("plain.csv", plain)
+    write("other.CSV", [["content", "doc_id"], ["x", "o1"], [], ["y"], ["z" * 300_000, "o3"]], "\n")
+    write("lines.csv", [["id", "text"], ["l1", "two\nlines"], ["", "one"]])
+    (tmp_path / "old.csv").write_bytes(b"id,text\rm1,mac\rm2,lines\r")
+    (tmp_path / "bytes.csv").write_bytes(b"id,text\nb1,\xff\n")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        got = [(r.base_id, r.text) for r in files.scan(spark, str(tmp_path), ["csv"]).orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [("l1", "two\nlines"), ("lines_1", "one"), ("m1", "mac"), ("m2", "lines"), ("o1", "x"), ("other_1", "y"), ("o3", "z" * 300_000), *((r[2] or f"plain_{i}", r[1]) for i, r in enumerate(plain[1:]))]
+    assert got == want
