@@ -101,7 +101,7 @@ def _logits(b: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
 
 def _fold(keys: pa.RecordBatch, most: np.ndarray, w: np.ndarray, acc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """States of one row each folded by key, in the order in which keys first come: a row of each key, and its state."""
-    group = keys.to_pandas().groupby(BY, sort=False, dropna=False).ngroup().to_numpy()
+    group = keys.to_pandas().groupby(keys.schema.names, sort=False, dropna=False).ngroup().to_numpy()
     order = np.argsort(group, kind="stable")
     first = np.flatnonzero(np.diff(group[order], prepend=-1))
     top = np.maximum.reduceat(most[order], first)
@@ -109,27 +109,41 @@ def _fold(keys: pa.RecordBatch, most: np.ndarray, w: np.ndarray, acc: np.ndarray
     return order[first], top, np.add.reduceat(w[order] * scale, first), np.add.reduceat(acc[order] * scale[:, None], first, axis=0)
 
 
-def _attended(pairs: DataFrame, read: Read, dim: int, back: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: str) -> DataFrame:
-    """q_id, doc_id, layer, head, out (array of `kind`): pairs folded where they are, states merged in the order of their
-    keys, and `back` (values, heads) applied to the merged ones. A weight of zero counts as one."""
-    types = dict(pairs.dtypes)
-    keys = ", ".join(f"{c} {types[c]}" for c in BY)
-    names = [*BY, "most", "w", "acc"]
+#: Merged states turned back: values and heads to the result.
+Back = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
-    def state(b: pa.RecordBatch, folded: tuple) -> pa.RecordBatch:
-        first, most, w, acc = folded
-        return pa.RecordBatch.from_arrays([*b.select(BY).take(pa.array(first)).columns, pa.array(most), pa.array(w), lists(acc, pa.float64())], names)
+def _states(pairs: DataFrame, read: Read, by: list[str]) -> DataFrame:
+    """by (BY among them), most, w, acc: the pairs of every task and batch folded to one state of a key."""
+    types = dict(pairs.dtypes)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 logits, values = read(b)
-                yield state(b, _fold(b.select(BY), logits, np.ones(len(logits)), values))
+                yield _state(b, by, _fold(b.select(by), logits, np.ones(len(logits)), values))
+
+    return pairs.mapInArrow(fold, ", ".join([*(f"{c} {types[c]}" for c in by), "most double, w double, acc array<double>"]))
+
+
+def _state(b: pa.RecordBatch, by: list[str], folded: tuple) -> pa.RecordBatch:
+    first, most, w, acc = folded
+    return pa.RecordBatch.from_arrays([*b.select(by).take(pa.array(first)).columns, pa.array(most), pa.array(w), lists(acc, pa.float64())], [*by, "most", "w", "acc"])
+
+
+def _merged(states: DataFrame, by: list[str], dim: int, backs: dict[str | None, Back], kind: str) -> DataFrame:
+    """by, out (array of `kind`): states merged in the order of their keys, and turned back by the key's `scheme` (or the
+    only way there is). A weight of zero counts as one."""
+    types = dict(states.dtypes)
 
     def told(b: pa.RecordBatch) -> pa.RecordBatch:
-        w = b.column(len(BY) + 1).to_numpy()
-        out = back(_doubles(b, "acc", dim) / np.where(w > 0, w, 1.0)[:, None], _heads(b))
-        return pa.RecordBatch.from_arrays([*b.columns[: len(BY)], lists(out, pa.float32() if kind == "float" else pa.float64())], [*BY, "out"])
+        w = b.column(b.schema.get_field_index("w")).to_numpy()
+        out, heads = _doubles(b, "acc", dim) / np.where(w > 0, w, 1.0)[:, None], _heads(b)
+        names = b.column(b.schema.get_field_index("scheme")).to_pylist() if "scheme" in by else [None] * b.num_rows
+        for name in set(names):
+            own = np.array([n == name for n in names])
+            out[own] = backs[name](out[own], heads[own])
+        return pa.RecordBatch.from_arrays([*b.select(by).columns, lists(out, pa.float32() if kind == "float" else pa.float64())], [*by, "out"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last key's state, which the next batch may go on with
@@ -137,15 +151,14 @@ def _attended(pairs: DataFrame, read: Read, dim: int, back: Callable[[np.ndarray
             if not b.num_rows:
                 continue
             whole = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            merged = state(whole, _fold(whole.select(BY), *(whole.column(len(BY) + i).to_numpy() for i in (0, 1)), _doubles(whole, "acc", dim)))
+            merged = _state(whole, by, _fold(whole.select(by), *(whole.column(len(by) + i).to_numpy() for i in (0, 1)), _doubles(whole, "acc", dim)))
             if merged.num_rows > 1:
                 yield told(merged.slice(0, merged.num_rows - 1))
             held = merged.slice(merged.num_rows - 1)
         if held is not None:
             yield told(held)
 
-    states = pairs.mapInArrow(fold, f"{keys}, most double, w double, acc array<double>")
-    return states.repartition(*BY).sortWithinPartitions(*BY).mapInArrow(merge, f"{keys}, out array<{kind}>")
+    return states.repartition(*by).sortWithinPartitions(*by).mapInArrow(merge, ", ".join([*(f"{c} {types[c]}" for c in by), f"out array<{kind}>"]))
 
 
 def plain_attention(queries: DataFrame, cache: DataFrame, dim: int) -> DataFrame:
@@ -157,25 +170,36 @@ def plain_attention(queries: DataFrame, cache: DataFrame, dim: int) -> DataFrame
         q, k, v = (matrix(b.column(b.schema.get_field_index(c)), dim, "plain") for c in ("q", "k", "v"))
         return (q * k).sum(axis=1) / dim**0.5, v
 
-    return _attended(pairs, read, dim, lambda out, _: out, "double")
+    return _merged(_states(pairs, read, BY), BY, dim, {None: lambda out, _: out}, "double")
 
 
-def packed_attention(queries: DataFrame, packed: DataFrame, name: str, dim: int) -> DataFrame:
-    """q_id, doc_id, layer, head, out (array<float>, in half precision)."""
+def _packed_states(queries: DataFrame, packed: DataFrame, name: str, dim: int, by: list[str]) -> DataFrame:
     s = scheme(name)
     Config(dim=dim).check()
     pairs = _paired(_turned(queries, name, dim), packed, list(s.columns))
-    return _attended(pairs, lambda b: (_logits(b, name, dim), s.values(parts_of(b, s.columns), dim)), dim, lambda out, heads: half(s.turn_back(out, heads)), "float")
+    if "scheme" in by:
+        pairs = pairs.withColumn("scheme", F.lit(name))
+    return _states(pairs, lambda b: (_logits(b, name, dim), s.values(parts_of(b, s.columns), dim)), by)
+
+
+def _turned_back(name: str) -> Back:
+    return lambda out, heads: half(scheme(name).turn_back(out, heads))
+
+
+def packed_attention(queries: DataFrame, packed: DataFrame, name: str, dim: int) -> DataFrame:
+    """q_id, doc_id, layer, head, out (array<float>, in half precision)."""
+    return _merged(_packed_states(queries, packed, name, dim, BY), BY, dim, {None: _turned_back(name)}, "float")
 
 
 def attention_error(queries: DataFrame, cache: DataFrame, packed: dict[str, DataFrame], dim: int, by: tuple[str, ...] = ()) -> DataFrame:
     """scheme, mse (and the columns `by` of doc_id, layer, head): the mean squared difference of packed from plain
-    attention. Plain attention is computed once, and joined to the results of all schemes."""
+    attention. The states of all schemes are merged together; plain attention is computed once, and joined to them."""
     if not packed:
         raise ValueError("no scheme given")
     plain = plain_attention(queries, cache, dim).select(*BY, F.col("out").alias("plain"))
-    outs = [packed_attention(queries, table, name, dim).withColumn("scheme", F.lit(name)) for name, table in packed.items()]
-    both = reduce(DataFrame.unionByName, outs).join(plain, BY)
+    keys = [*BY, "scheme"]
+    states = reduce(DataFrame.unionByName, [_packed_states(queries, table, name, dim, keys) for name, table in packed.items()])
+    both = _merged(states, keys, dim, {name: _turned_back(name) for name in packed}, "float").join(plain, BY)
     squares = F.zip_with("out", "plain", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
     each = both.select("scheme", *by, F.aggregate(squares, F.lit(0.0), lambda s, x: s + x).alias("sum"), F.size("out").alias("n"))
     return each.groupBy("scheme", *by).agg((F.sum("sum") / F.sum("n")).alias("mse"))

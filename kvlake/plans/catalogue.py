@@ -97,8 +97,7 @@ def pack_bits_hex(spark: SparkSession, root: str) -> DataFrame:
 
 def roundtrip_error(spark: SparkSession, root: str) -> DataFrame:
     """Errors of packing and restoring, by scheme and part."""
-    all_ = reduce(DataFrame.unionByName, [pipeline.roundtrip(cache(spark, root), n, DIM) for n in schemes.SCHEMES])
-    return all_.select("scheme", "part", *[F.round(c, 6).alias(c) for c in ("mse", "max_abs", "rel_mse")])
+    return pipeline.roundtrips(cache(spark, root), list(schemes.SCHEMES), DIM).select("scheme", "part", *[F.round(c, 6).alias(c) for c in ("mse", "max_abs", "rel_mse")])
 
 
 def _outs(df: DataFrame) -> DataFrame:

@@ -116,19 +116,28 @@ def demo_runs(spark: SparkSession, names: tuple[str, ...] = ("fp16", "turbo_prod
 def compare(cache: DataFrame, queries: DataFrame, names: list[str], dim: int) -> DataFrame:
     """scheme, part, mse, max_abs, rel_mse of restored keys and values, and attn_mse, of each scheme."""
     packed = {n: schemes.pack(cache, n, dim) for n in names}
-    restored = reduce(DataFrame.unionByName, [roundtrip(cache, n, dim) for n in names])
+    restored = roundtrips(cache, names, dim)
     return restored.join(attention.attention_error(queries, cache, packed, dim).withColumnRenamed("mse", "attn_mse"), "scheme")
 
 
 def roundtrip(cache: DataFrame, name: str, dim: int) -> DataFrame:
-    """scheme, part (k or v), mse, max_abs, rel_mse of what packing and restoring gives against the vectors. The plain
-    vectors go through the same pass as the codes, so nothing is joined."""
+    """scheme, part (k or v), mse, max_abs, rel_mse of what packing and restoring gives against the vectors."""
+    return roundtrips(cache, [name], dim)
+
+
+def roundtrips(cache: DataFrame, names: list[str], dim: int) -> DataFrame:
+    """The same of several schemes, in one aggregation."""
+    return metrics.errors(reduce(DataFrame.unionByName, [_restored(cache, n, dim) for n in names]), "a", "b", ["scheme", "part"])
+
+
+def _restored(cache: DataFrame, name: str, dim: int) -> DataFrame:
+    """scheme, part, a (the vector), b (what is restored of it). The plain vectors go through the same pass as the codes,
+    so nothing is joined."""
     kept = cache.withColumn("k0", F.col("k")).withColumn("v0", F.col("v"))
     back = schemes.restore(schemes.pack(kept, name, dim), name, dim)
     parts = F.array(F.struct(F.lit("k").alias("part"), F.col("k0").alias("a"), F.col("k").alias("b")), F.struct(F.lit("v").alias("part"), F.col("v0").alias("a"), F.col("v").alias("b")))
     halves = lambda c: F.transform(c, lambda x: x.cast("double"))
-    each = back.select(F.inline(parts)).select(F.lit(name).alias("scheme"), "part", halves("a").alias("a"), halves("b").alias("b"))
-    return metrics.errors(each, "a", "b", ["scheme", "part"])
+    return back.select(F.inline(parts)).select(F.lit(name).alias("scheme"), "part", halves("a").alias("a"), halves("b").alias("b"))
 
 
 def evaluate(runs: DataFrame, samples: DataFrame, base: str) -> DataFrame:
