@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,9 +19,10 @@ RANGES, SAMPLE = 64, 16
 
 
 def default_slots(cache: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds slot, page, offset: tokens of a document, layer and head in their order, from slot 0."""
-    w = Window.partitionBy("doc_id", "layer", "head").orderBy("token")
-    return with_pages(cache.withColumn("slot", (F.row_number().over(w) - 1).cast("int")), block)
+    """Adds slot, page, offset: tokens of a document, layer and head in their order, from slot 0. A document's tokens are
+    numbered in ranges, so one with a third of all is spread."""
+    numbered = running_total(cache.withColumn("__one", F.lit(1).cast("long")), "__one", ["token"], "slot", within=("doc_id", "layer", "head"))
+    return with_pages(numbered.drop("__one").withColumn("slot", F.col("slot").cast("int")), block)
 
 
 def with_pages(slots: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -35,48 +39,57 @@ def _bounds(df: DataFrame, order: list[str], parts: int) -> list[tuple]:
 
 
 def _range_of(df: DataFrame, order: list[str], bounds: list[tuple]) -> Column:
-    """How many of the bounds are not above a row's key, a function of the key alone: counted among every RANGES-th bound,
-    and then among those that follow."""
+    """How many of the bounds are not above a row's key, a function of the key alone: counted among some bounds in
+    equal steps, and then among those of one step."""
     types = dict(df.dtypes)
     one = len(order) == 1
     value = lambda key: F.lit(key[0]).cast(types[order[0]]) if one else F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, key, strict=True)])
     key = F.col(f"`{order[0]}`") if one else F.struct(*[F.col(f"`{c}`").alias(c) for c in order])
     reached = lambda keys: F.size(F.filter(keys, lambda b: (b <= key) | b.isNull()))  # noqa: E731  # nulls come first
-    every, whole = bounds[RANGES - 1 :: RANGES], F.array(*map(value, bounds))
+    step = max(2, isqrt(len(bounds)))
+    every, whole = bounds[step - 1 :: step], F.array(*map(value, bounds))
     if not every:
         return reached(whole)
-    begun = reached(F.array(*map(value, every))) * RANGES
-    return begun + reached(F.slice(whole, begun + 1, F.lit(RANGES)))
+    begun = reached(F.array(*map(value, every))) * step
+    return begun + reached(F.slice(whole, begun + 1, F.lit(step)))
 
 
-def running_total(df: DataFrame, value: str, order: list[str], out: str, parts: int | None = None) -> DataFrame:
-    """Adds the sum of `value` over all rows before a row in a global order, without one task for all: the order is cut
-    into ranges at fixed keys, ranges are summed where the rows are, and each row gets its range's start and its sum
-    inside the range. A row's range is a function of its key, so both readings of the rows agree whatever is recomputed.
+def running_total(df: DataFrame, value: str, order: list[str], out: str, parts: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the sum of `value` over all rows before a row in a global order, or over those with the same `within` before it,
+    without one task for all, or for all of a group: the order (by `within` first) is cut into ranges at fixed keys, ranges
+    are summed where the rows are, by group too, and each row gets what comes before its range and its sum inside the
+    range. A row's range is a function of its key, so both readings of the rows agree whatever is recomputed.
 
-    Nulls in `value` count as 0, null keys come first. Rows with equal keys come in the order of a hash of all their
-    columns; rows equal in all columns are told apart in no defined way. An empty table gives no rows. `parts` ranges, by
-    default as many as shuffles have, from 64 to 4096.
+    Nulls in `value` count as 0, null keys come first and are a group. Rows with equal keys come in the order of a hash of
+    all their columns; rows equal in all columns are told apart in no defined way. An empty table gives no rows. `parts`
+    ranges, by default as many as shuffles have, from 64 to 4096.
     """
     parts = parts or min(max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 4096)
-    bounds = _bounds(df, order, parts)
+    keys = [*within, *order]
+    bounds = _bounds(df, keys, parts)
     # a generated column, so that grouping by it does not depend on how its expression is rewritten
-    ranged = df.select("*", F.explode(F.array(_range_of(df, order, bounds) if bounds else F.lit(0))).alias("__part"))
-    sums = ranged.groupBy("__part").agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))  # one row per range
-    inside = Window.partitionBy("__part").orderBy(*order, F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(starts), "__part")
+    ranged = df.select("*", F.explode(F.array(_range_of(df, keys, bounds) if bounds else F.lit(0))).alias("__part"))
+    sums = ranged.groupBy("__part", *within).agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__part", *within, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))  # a row for each range, and group in it
+    ties = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])
+    inside = Window.partitionBy("__part", *within).orderBy(*order, ties).rowsBetween(Window.unboundedPreceding, -1)
+    if within:
+        s = starts.select(*[F.col(c).alias(f"__in{i}") for i, c in enumerate(within)], F.col("__part").alias("__at"), "__start")
+        joined = ranged.join(s, reduce(lambda x, y: x & y, [F.col("__part") == F.col("__at"), *(F.col(c).eqNullSafe(F.col(f"__in{i}")) for i, c in enumerate(within))]))
+        joined = joined.drop("__at", *(f"__in{i}" for i in range(len(within))))
+    else:
+        joined = ranged.join(F.broadcast(starts), "__part")
     return joined.withColumn(out, F.col("__start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__part", "__start")
 
 
 def block_table(appends: DataFrame, block: int = BLOCK) -> DataFrame:
     """seq_id, order, n, start, first_block, new_blocks: per append to a sequence, the tokens before it, the logical block
     that its first token falls into, and the blocks it takes anew. Appends have seq_id, order (unique in a sequence) and n;
-    null and negative n count as 0. A sequence's own appends are one window; sequences are spread."""
-    w = Window.partitionBy("seq_id").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    null and negative n count as 0. The appends of one sequence are summed in ranges, so one with a third of all is
+    spread."""
     n = F.greatest(F.coalesce(F.col("n"), F.lit(0)), F.lit(0)).cast("long")
-    before = appends.select("seq_id", "order", n.alias("n")).withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    before = running_total(appends.select("seq_id", "order", n.alias("n")), "n", ["order"], "start", within=("seq_id",))
     blocks = lambda tokens: F.ceil(tokens / F.lit(block)).cast("long")
     return before.withColumn("first_block", F.floor(F.col("start") / block).cast("long")).withColumn("new_blocks", blocks(F.col("start") + F.col("n")) - blocks(F.col("start")))
 

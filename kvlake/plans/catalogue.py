@@ -13,7 +13,7 @@ from kvlake.functions import text as T
 from kvlake.functions import vectors as V
 from kvlake.operators import attention, corpus, metrics, paging, references, schemes
 from kvlake.plans import pipeline
-from kvlake.session import own_folder, read_table
+from kvlake.session import own_folder, read_table, written_once
 from kvlake.sources import files, migrate
 from kvlake.sources import store as st
 from kvlake.streaming import slots
@@ -347,12 +347,12 @@ def slots_block_table(spark: SparkSession, root: str) -> DataFrame:
 
 def slots_physical(spark: SparkSession, root: str) -> DataFrame:
     """The physical block of every block of every sequence."""
-    return paging.physical_blocks(paging.block_table(_appends(spark, root)), ["order"])
+    return paging.physical_blocks(written_once(paging.block_table(_appends(spark, root))), ["order"])
 
 
 def slot_map(spark: SparkSession, root: str) -> DataFrame:
     """Per append the first and last slot, the number and the sum of its tokens' slots."""
-    table = paging.block_table(_appends(spark, root))
+    table = written_once(paging.block_table(_appends(spark, root)))  # five numbers a row, read four times
     slots = paging.slot_map(table, paging.physical_blocks(table, ["order"]))
     return slots.groupBy("seq_id", "order").agg(F.min_by("slot", "token").alias("first"), F.max_by("slot", "token").alias("last"), F.count("slot").alias("n"), F.sum("slot").alias("total"))
 

@@ -44,3 +44,15 @@ def test_blocks_are_handed_out_once(spark, seed):
             held, taken = held + 1, taken + 1
         left[seq] = (length + n, held)
     assert want == {(s, b): p for s, b, p in got[["seq_id", "logical", "physical"]].itertuples(index=False)}
+
+
+def test_running_totals_of_groups_with_a_hot_one(spark):
+    rng = np.random.default_rng(7)
+    n = 40_000
+    pdf = pd.DataFrame({"g": np.where(rng.random(n) < 0.4, "hot", rng.integers(0, 500, n).astype(str)), "at": rng.permutation(n), "n": rng.integers(0, 9, n)})
+    pdf.loc[:99, "g"] = None
+    df = spark.createDataFrame([(None if g is None else str(g), int(a), int(v)) for g, a, v in pdf.itertuples(index=False)], "g string, at long, n long")
+    got = paging.running_total(df, "n", ["at"], "before", parts=50, within=("g",)).toPandas().sort_values("at")
+    want = pdf.sort_values("at").assign(k=lambda x: x["g"].fillna("null"))
+    want["before"] = want.groupby("k")["n"].cumsum() - want["n"]
+    assert len(got) == n and np.array_equal(got["before"].to_numpy(), want["before"].to_numpy())
